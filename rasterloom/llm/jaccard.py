@@ -5,7 +5,7 @@ taken where sets can be near at all:
 
 * **Lists.** Sets of similarity s or more share a shingle among their first n - ceil(s n) + 1 in any
   one order of shingles (frequent ones last). Sets with a common first shingle form a list.
-* **Pivots and regions.** In each list the smallest set is a pivot; a set belongs to the Voronoi region
+* **Pivots and regions.** In each list one set (that of the least hash) is a pivot; a set belongs to the Voronoi region
   of the pivot that most of its lists name, if those are ``near`` of its first shingles or more. Sets
   left over choose again among themselves, and at last stand for themselves.
 * **Windows.** A set is replicated into a region if it shares a list with a member and the number of
@@ -157,7 +157,7 @@ def _regions(k: int, num: int, den: int):
     return lambda f: join(f.sort_values(["region", "block"], kind="stable"))
 
 
-def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k: int = 5, num: int = 75, den: int = 100, near: float = 0.3, rounds: int = 3, often: int = 8, most: int = 4000) -> DataFrame:
+def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k: int = 5, num: int = 75, den: int = 100, near: float = 0.3, rounds: int = 3, often: int = 3, most: int = 4000) -> DataFrame:
     """Per row of docs: ``id_``, n_shingles, component_id (the smallest id reachable by links) and n_links.
 
     Texts link when den * intersection >= num * union of their sets of k-word shingles. Words are lower-cased
@@ -187,17 +187,17 @@ def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k:
     listed = rows.select("t").mapInPandas(firsts, "k long, n long, hs array<long>").where("n > 0")
     listed = listed.select("k", "n", F.size("hs").alias("p"), F.explode("hs").alias("h"))
     listed, at_listed = cut.cut(listed)
-    lists = cut(listed.groupBy("h").agg(F.min(F.struct("n", "k")).alias("lo"), F.max(F.struct("n", "k")).alias("hi")).where("lo != hi").select("h"))
+    lists = cut(listed.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo != hi").select("h"))
     members = cut(listed.join(lists, "h").distinct())
     cut.drop(at_listed)
 
     # Regions: who belongs where.
     left, owned = members, None
     for _ in range(rounds):
-        pivots = left.groupBy("h").agg(F.min(F.struct("n", "k")).alias("pivot")).select("h", F.col("pivot.k").alias("region"))
+        pivots = left.groupBy("h").agg(F.min("k").alias("region"))
         votes = left.join(pivots, "h").groupBy("k", "n", "p", "region").agg(F.count("*").alias("v"))
-        best = votes.groupBy("k", "n", "p").agg(F.max(F.struct("v", (F.col("region") == F.col("k")).alias("own"), "region")).alias("b"))
-        got = cut(best.where(F.col("b.v") >= near * F.col("p")).select("k", F.col("b.region").alias("region")))
+        best = votes.groupBy("k", "n", "p").agg(F.max("v").alias("v"), F.max_by("region", F.col("v") * 2 + (F.col("region") == F.col("k")).cast("int")).alias("region"))
+        got = cut(best.where(F.col("v") >= near * F.col("p")).select("k", "region"))
         owned = got if owned is None else owned.unionByName(got)
         left = cut(left.join(got, "k", "left_anti"))
     rest = left.select("k").distinct().select("k", F.col("k").alias("region"))
@@ -206,8 +206,9 @@ def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k:
     # Windows: who else has to be looked at there.
     placed = members.join(owned, "k")
     sizes = placed.groupBy("region").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    there = placed.select("h", "region").distinct()
-    shared = placed.select("h", "k", "n", F.col("region").alias("own")).join(there, "h").where("own != region")
+    there = placed.groupBy("h", "region").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = (F.col("own") != F.col("region")) & (F.col("most") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("least") * num)
+    shared = placed.select("h", "k", "n", F.col("region").alias("own")).join(there.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & fits)
     shared = shared.groupBy("k", "n", "region").agg(F.count("*").alias("c")).join(sizes, "region")
     lo, hi = F.greatest("lo", F.ceil(F.col("n") * num / den)), F.least("hi", F.floor(F.col("n") * den / num))
     bound = lambda x: (x + F.col("n")) * (num / (num + den)) - F.greatest(x, F.col("n")) * (num / den)
