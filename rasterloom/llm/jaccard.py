@@ -8,8 +8,9 @@ taken where sets can be near at all:
 * **Pivots and regions.** In each list one set (that of the least hash) is a pivot; a set belongs to the Voronoi region
   of the pivot that most of its lists name, if those are ``near`` of its first shingles or more. Sets
   left over choose again among themselves, and at last stand for themselves.
-* **Windows.** A set is replicated into a region if it shares a list with a member and the number of
-  lists shared can reach the similarity for sizes found there. Any partner of a member does.
+* **Windows.** A set is replicated into a larger region (by members, then name) than its own if it shares
+  a list with a member and the number of lists shared can reach the similarity for sizes found there. Any
+  partner of a member in a smaller region does, so each pair of sets meets in one region.
 * **Joins.** A region is joined exactly inside a task: distances to its pivot come first, the triangle
   inequality leaves for each member a window of |d(x,p) - d(y,p)| <= 1 - s, and an inverted index counts
   the overlaps in it. A region over ``most`` sets is dealt into blocks, joined with each other, so that no
@@ -86,11 +87,13 @@ class Links:
         self.up[max(i, j)] = min(i, j)
 
 
-def join_region(s: list[np.ndarray], member: np.ndarray, copies: np.ndarray, num: int, den: int, other: np.ndarray | None = None) -> tuple[Links, np.ndarray]:
-    """Links among the sets, and for each member the rows it links to (copies count each).
+def join_region(s: list[np.ndarray], member: np.ndarray, copies: np.ndarray, num: int, den: int, other: np.ndarray | None = None, guest: np.ndarray | None = None) -> tuple[Links, np.ndarray]:
+    """Links among the sets, and the rows that each one links to (copies count each), as far as seen here.
 
-    member: sets whose partners are wanted; other: which sets are looked at as partners (all).
+    member: sets whose partners are wanted; other: which sets are looked at as partners (all); guest: sets
+    of other regions (those that are no members), which have their links told here and nowhere else.
     """
+    guest = ~member if guest is None else guest
     m = len(s)
     n = np.array([len(x) for x in s])
     links, count = Links(m), np.zeros(m, np.int64)
@@ -130,7 +133,8 @@ def join_region(s: list[np.ndarray], member: np.ndarray, copies: np.ndarray, num
         if window.any():
             o = overlap(i)
             hit = np.flatnonzero(window & (den * o >= num * (n + n[i] - o)))
-            count[i] = copies[hit].sum()
+            count[i] += copies[hit].sum()
+            count[hit[guest[hit]]] += copies[i]
             for j in hit:
                 links.link(i, j)
     return links, count
@@ -146,7 +150,7 @@ def _regions(k: int, num: int, den: int):
             if len(g) < 2 or not member.any():
                 continue
             s = sets(list(g["t"]), k)
-            links, count = join_region(s, member, g["copies"].to_numpy(), num, den, g["other"].to_numpy())
+            links, count = join_region(s, member, g["copies"].to_numpy(), num, den, g["other"].to_numpy(), g["guest"].to_numpy())
             keys = g["k"].to_numpy()
             for i in range(len(g)):
                 r = links.root(i)
@@ -157,7 +161,7 @@ def _regions(k: int, num: int, den: int):
     return lambda f: join(f.sort_values(["region", "block"], kind="stable"))
 
 
-def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k: int = 5, num: int = 75, den: int = 100, near: float = 0.3, rounds: int = 3, often: int = 3, most: int = 4000) -> DataFrame:
+def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k: int = 5, num: int = 75, den: int = 100, near: float = 0.1, rounds: int = 2, often: int = 3, most: int = 4000) -> DataFrame:
     """Per row of docs: ``id_``, n_shingles, component_id (the smallest id reachable by links) and n_links.
 
     Texts link when den * intersection >= num * union of their sets of k-word shingles. Words are lower-cased
@@ -204,11 +208,15 @@ def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k:
     owned = cut(owned.unionByName(rest))
 
     # Windows: who else has to be looked at there.
-    placed = members.join(owned, "k")
+    # Two regions look at each other's members once, in the larger one.
+    sizes = owned.groupBy("region").agg(F.count("*").alias("size"))
+    placed = members.join(owned.join(sizes, "region"), "k")
     sizes = placed.groupBy("region").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    there = placed.groupBy("h", "region").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.col("own") != F.col("region")) & (F.col("most") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("least") * num)
-    shared = placed.select("h", "k", "n", F.col("region").alias("own")).join(there.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & fits)
+    there = placed.groupBy("h", "region", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    there = there.select(F.col("h").alias("h2"), "region", F.col("size").alias("size2"), "least", "most")
+    fits = (F.col("size2") > F.col("size")) | ((F.col("size2") == F.col("size")) & (F.col("region") > F.col("own")))
+    fits &= (F.col("most") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("least") * num)
+    shared = placed.select("h", "k", "n", "size", F.col("region").alias("own")).join(there, (F.col("h") == F.col("h2")) & fits)
     shared = shared.groupBy("k", "n", "region").agg(F.count("*").alias("c")).join(sizes, "region")
     lo, hi = F.greatest("lo", F.ceil(F.col("n") * num / den)), F.least("hi", F.floor(F.col("n") * den / num))
     bound = lambda x: (x + F.col("n")) * (num / (num + den)) - F.greatest(x, F.col("n")) * (num / den)
@@ -226,11 +234,11 @@ def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k:
     everywhere = F.sequence(F.lit(0).cast("long"), b - 1)
     deal = deal.withColumn("b", F.when(F.col("m") > most, b).otherwise(F.lit(1).cast("long"))).withColumn("own", F.when(F.col("m") > most, mine).otherwise(F.lit(0).cast("long")))
     # Block (i, j): members of share i, partners of share j.
-    as_other = F.transform(everywhere, lambda i: F.struct((i * F.col("b") + F.col("own")).alias("block"), (F.col("member") & (i == F.col("own"))).alias("member"), F.lit(True).alias("other")))
-    as_member = F.transform(F.filter(everywhere, lambda j: F.col("member") & (j != F.col("own"))), lambda j: F.struct((F.col("own") * F.col("b") + j).alias("block"), F.lit(True).alias("member"), F.lit(False).alias("other")))
-    simple = F.array(F.struct(F.lit(0).cast("long").alias("block"), F.col("member"), F.lit(True).alias("other")))
+    as_other = F.transform(everywhere, lambda i: F.struct((i * F.col("b") + F.col("own")).alias("block"), (F.col("member") & (i == F.col("own"))).alias("member"), F.lit(True).alias("other"), (~F.col("member")).alias("guest")))
+    as_member = F.transform(F.filter(everywhere, lambda j: F.col("member") & (j != F.col("own"))), lambda j: F.struct((F.col("own") * F.col("b") + j).alias("block"), F.lit(True).alias("member"), F.lit(False).alias("other"), F.lit(False).alias("guest")))
+    simple = F.array(F.struct(F.lit(0).cast("long").alias("block"), F.col("member"), F.lit(True).alias("other"), (~F.col("member")).alias("guest")))
     deal = deal.select("region", "k", F.when(F.col("b") > 1, F.concat(as_other, as_member)).otherwise(simple).alias("to"))
-    want = deal.groupBy("k").agg(F.flatten(F.collect_list(F.transform("to", lambda x: F.struct("region", x["block"].alias("block"), x["member"].alias("member"), x["other"].alias("other"))))).alias("to"))
+    want = deal.groupBy("k").agg(F.flatten(F.collect_list(F.transform("to", lambda x: F.struct("region", x["block"].alias("block"), x["member"].alias("member"), x["other"].alias("other"), x["guest"].alias("guest"))))).alias("to"))
     want = want.join(one, "k")
     texts = rows.join(want.withColumnRenamed("id", "rid").withColumnRenamed("k1", "r1").withColumnRenamed("k2", "r2"), F.col("k1").eqNullSafe(F.col("r1")) & F.col("k2").eqNullSafe(F.col("r2")) & F.col("id").eqNullSafe(F.col("rid")))
     texts = texts.select("k", "n", "copies", "t", F.explode("to").alias("to")).select("k", "n", "copies", "t", "to.*")
