@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 from array import array
 from collections.abc import Iterator
 from zlib import crc32
@@ -189,9 +191,17 @@ class Encoder:
 _CONTROL = re.compile("[\x1c-\x1f]").search
 
 
+def _encoder(path: str, end: int) -> Encoder:
+    """The worker's encoder: Python workers serve several tasks, and what one has learned of words serves the next."""
+    kept = sys.modules.setdefault("rasterloom_worker", types.ModuleType("rasterloom_worker")).__dict__
+    if (path, end) not in kept:
+        kept[path, end] = Encoder(path, end)
+    return kept[path, end]
+
+
 def _pieces(path: str, end: int, size: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(path, end)
+        encode = _encoder(path, end)
         for f in frames:
             out = {"i": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             for i, ids in enumerate(encode(list(f["t"]))):
