@@ -90,7 +90,7 @@ def test_float_splits(values, k):
 
 def test_trainer_prefers_the_planted_predictor(spark):
     r, v = np.random.default_rng(1), np.zeros((40, 32), np.int64)
-    v[0] = 30000 + np.cumsum(r.integers(-40, 41, 32))
+    v[0] = 2000 + np.cumsum(r.integers(-40, 41, 32))
     for y in range(1, 40):
         v[y, 0] = v[y - 1, 0] + r.integers(-40, 41)
         for x in range(1, 32):
