@@ -132,7 +132,7 @@ class Encoder:
     Words with characters outside Latin, or with a special token's marks, are not split here.
     """
 
-    def __init__(self, path: str, end: int, most: int = 800_000) -> None:
+    def __init__(self, path: str, end: int, most: int = 250_000) -> None:
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -154,7 +154,7 @@ class Encoder:
     def _learn(self, words: set[str]) -> None:
         if len(self.words) + len(words) > self.most:
             self.words.clear()
-        if len(self.parts) > self.most:
+        if len(self.parts) > 2 * self.most:
             self.parts.clear()
         whole, split = [], {}
         for w in words:
