@@ -128,11 +128,11 @@ class Encoder:
     """Texts to packed ids, each with the end id.
 
     The tokenizer never joins anything across white space, nor across its own split of a word, so the ids
-    of words, and of the parts of words, are kept for reuse; texts get the ids that the tokenizer gives.
-    Words with characters outside Latin, or with a special token's marks, are not split here.
+    of the parts are kept for reuse; texts get the ids that the tokenizer gives. Words with characters
+    outside Latin, or with a special token's marks, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, end: int, most: int = 250_000) -> None:
+    def __init__(self, path: str, end: int, most: int = 1_000_000) -> None:
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -143,48 +143,44 @@ class Encoder:
         self.merges.normalizer = None
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.split = regex.compile(_PARTS).findall
-        self.plain = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+").fullmatch
-        self.words: dict[str, bytes] = {}
+        self.plain = re.compile("[\\t\\n\\r -~\u00a1-\u012f\u0131-\u024f]*").fullmatch
         self.parts: dict[str, bytes] = {}
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > self.most:
-            self.words.clear()
-        if len(self.parts) > 2 * self.most:
-            self.parts.clear()
-        whole, split = [], {}
-        for w in words:
-            if "<|" in w or not self.plain(w):
-                whole.append(w)
+    def _split(self, text: str) -> tuple[list[str], dict[str, bytes]]:
+        """A text's parts, and ids of words that are their own part (marked by a leading blank)."""
+        if "<|" not in text and self.plain(text):
+            return self.split(text.lower()), {}
+        out, whole = [], {}
+        # str.split also takes four control characters for white space, which the tokenizer does not.
+        for w in text.split(" ") if _CONTROL(text) else text.split():
+            if "<|" not in w and self.plain(w):
+                out += self.split(w.lower())
             else:
-                split[w] = self.split(w.lower())
-        new = list({p for ps in split.values() for p in ps}.difference(self.parts))
-        self.parts.update(zip(new, self._ids(self.merges, new), strict=True))
-        self.words.update(zip(whole, self._ids(self.t, whole), strict=True))
-        get = self.parts.__getitem__
-        self.words.update((w, get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))) for w, ps in split.items())
+                out.append(" " + w)
+                whole[" " + w] = b""
+        whole.update(zip(whole, self._ids(self.t, [w[1:] for w in whole]), strict=True))
+        return out, whole
 
     def __call__(self, texts: list[str], lot: int = 1 << 21) -> Iterator[bytes]:
         a = 0
         while a < len(texts):
             b, size, lists = a, 0, []
             while b < len(texts) and size < lot:
-                t = texts[b]
-                # str.split also takes four control characters for white space, which the tokenizer does not.
-                lists.append(t.split(" ") if _CONTROL(t) else t.split())
-                size, b = size + len(t), b + 1
-            seen = set().union(*lists)
-            new = seen.difference(self.words)
-            if new:
-                if len(self.words) + len(new) > self.most:
-                    new = seen
-                self._learn(new)
-            for w in lists:
-                yield b"".join(map(self.words.__getitem__, w)) + self.end
+                lists.append(self._split(texts[b]))
+                size, b = size + len(texts[b]), b + 1
+            if len(self.parts) > self.most:
+                self.parts.clear()
+            for _, whole in lists:
+                self.parts.update(whole)
+            new = list(set().union(*(parts for parts, _ in lists)).difference(self.parts))
+            self.parts.update(zip(new, self._ids(self.merges, new), strict=True))
+            get = self.parts.__getitem__
+            for parts, _ in lists:
+                yield b"".join(map(get, parts)) + self.end
             a = b
 
 

@@ -24,7 +24,7 @@ from rasterloom.llm.common import table
 
 _BITS = 18
 _BASE = 0xD6E8FEB86659FD93
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 INPUTS = 4
 PAD = np.array([0, -2, 0, 0], np.float32)
 _powers: dict[str, np.ndarray] = {}
@@ -46,7 +46,10 @@ def _tables(n: int) -> dict[str, np.ndarray]:
 
 
 def _slots(h: np.ndarray, start: np.ndarray, end: np.ndarray, down: np.ndarray) -> np.ndarray:
-    x = (h[end] - h[start]) * down[start]
+    return _mixed((h[end] - h[start]) * down[start])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return (x >> np.uint64(64 - _BITS)).astype(np.int32)
 
@@ -83,8 +86,7 @@ def split(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         first, last = edge[::2], edge[1::2]
         size = np.array([len(p) for p in part])
         of = np.array([i for i, _ in lot])[np.searchsorted(np.cumsum(size), first, "right")]
-        at = np.arange(len(data) - 5)
-        grams = _slots(h, at, at + 5, t["down"])
+        grams = _mixed((h[5:-1] - h[:-6]) * t["down"][: len(h) - 6])
         runs = np.stack([first - 1, np.maximum(last - 3, first - 1)], 1)
         yield of, _slots(h, first, last, t["down"]), grams, runs
 
@@ -268,7 +270,7 @@ class Model:
             out[k] = self.net.logits(*_columns(x, start[k], n[k], max(1, int(n[k].max()))))
         return out
 
-    def scores(self, texts: list[str], lot: int = 4 << 20) -> np.ndarray:
+    def scores(self, texts: list[str], lot: int = 1 << 20) -> np.ndarray:
         """The highest window's score of each text, empty texts too."""
         out, a = np.full(len(texts), -np.inf, np.float32), 0
         while a < len(texts):
@@ -347,15 +349,12 @@ def score_rows(docs: DataFrame, model: Model, text: str = "text", score: str = "
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for f in frames:
-            f[score] = model.scores([t or "" for t in f[text]])
-            yield f
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(shared.value.scores(texts.tolist()))
 
-    out = docs.drop(score)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    return out.mapInPandas(run, f"{kinds}, `{score}` double")
+    return docs.withColumn(score, scored(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
