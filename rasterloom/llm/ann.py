@@ -126,36 +126,55 @@ def _probe(graph: CentroidGraph, probe: float, width: int):
     return rows
 
 
-def nearest(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, may: np.ndarray | None, k: int) -> pd.DataFrame:
+def nearest(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, may: np.ndarray, k: int) -> pd.DataFrame:
     """The k rows of x with the largest products for each q; may: which of them it looks at."""
     out = []
     for at in range(0, len(q), 256):
         s = q[at : at + 256] @ x.T
-        bad = q_id[at : at + 256, None] == x_id[None]
-        s[bad if may is None else bad | ~may[at : at + 256]] = -np.inf
+        s[(q_id[at : at + 256, None] == x_id[None]) | ~may[at : at + 256]] = -np.inf
         kth = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
         r, c = np.nonzero((s >= (kth - 1e-9)[:, None]) & np.isfinite(s))
         exact = np.einsum("ij,ij->i", q[at + r], x[c])
-        f = pd.DataFrame({"q": at + r, "vec_id": x_id[c], "score": exact}).drop_duplicates(["q", "vec_id"])
+        f = pd.DataFrame({"q": at + r, "vec_id": x_id[c], "score": exact})
         out.append(f.sort_values(["q", "score", "vec_id"], ascending=[True, False, True], kind="stable").groupby("q", sort=False).head(k))
     f = pd.concat(out) if out else pd.DataFrame({"q": [], "vec_id": [], "score": []})
     return pd.DataFrame({"query_id": q_id[f["q"].to_numpy(int)], "vec_id": f["vec_id"].to_numpy(), "score": f["score"].to_numpy(float)})
 
 
+def once(vec_id: np.ndarray, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a shard without their replicas: where each first stands, and its lists (-1 where it has fewer than others).
+
+    A row that several lists hold has to count as one, or its replicas take the places of other rows.
+    """
+    first: dict[tuple[int, bytes], int] = {}
+    at = np.array([first.setdefault((i, v.tobytes()), len(first)) for i, v in zip(vec_id.tolist(), x, strict=True)], np.int64)
+    order = np.argsort(at, kind="stable")
+    row, start = np.unique(at[order], return_index=True)
+    nth = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+    held = np.full((len(row), int(nth.max()) + 1), -1, np.int64)
+    held[at[order], nth] = lists[order]
+    return order[start], held
+
+
 def _shard(k: int):
     def best(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": float})
-        own = own.sort_values(["list"], kind="stable")
-        x, lists = _matrix(own["v"]), own["list"].to_numpy()
-        here, inverse = np.unique(lists, return_inverse=True)
-        allowed = np.zeros((len(asked), len(here)), bool)
-        for i, want in enumerate(asked["lists"]):
-            allowed[i] = np.isin(here, want)
+        here, lists = np.unique(own["list"].to_numpy(), return_inverse=True)
+        x, x_id = _matrix(own["v"]), own["vec_id"].to_numpy()
+        rows, held = once(x_id, x, lists)
+        x, x_id = x[rows], x_id[rows]
         out = []
         for at in range(0, len(asked), 256):
             part = asked.iloc[at : at + 256]
-            out.append(nearest(_matrix(part["v"]), part["vec_id"].to_numpy(), x, own["vec_id"].to_numpy(), allowed[at : at + 256][:, inverse], k))
+            # The last column, which -1 stands for, is no list.
+            allowed = np.zeros((len(part), len(here) + 1), bool)
+            for i, want in enumerate(part["lists"]):
+                allowed[i, :-1] = np.isin(here, want)
+            may = allowed[:, held[:, 0]]
+            for c in range(1, held.shape[1]):
+                may |= allowed[:, held[:, c]]
+            out.append(nearest(_matrix(part["v"]), part["vec_id"].to_numpy(), x, x_id, may, k))
         return pd.concat(out)
 
     return best
@@ -165,7 +184,8 @@ def nearest_rows(vectors: DataFrame, queries: Column, k: int = 20, id_: str = "v
     """query_id, rank (from 1), vec_id, score of the k nearest found for each row that ``queries`` marks.
 
     Rows with a null id and vectors that ``usable`` rejects, or of another length than most, take no
-    part. Equal rows count once. Ties go to the smaller id. A table without usable rows gives none.
+    part. Equal rows count once; rows of one id with different vectors are rows of their own. Ties go to the
+    smaller id. A table without usable rows gives none.
     """
     spark = vectors.sparkSession
     cut = Cuts(spark)

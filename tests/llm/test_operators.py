@@ -37,6 +37,15 @@ def test_neighbours_recall_ties_and_unusable(spark):
     assert hit >= 0.9 * 300
     assert [v for v, _ in by[40]][:10] == list(range(41, 51))
     assert ann.nearest_rows(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    # With every row in four lists and all lists looked at, replicas take no other row's place.
+    all_ = ann.nearest_rows(df, F.col("vec_id") % 20 == 0, k=10, per_list=40, replicate=9.0, probe=9.0, shard_rows=700).collect()
+    got = {}
+    for g in all_:
+        got.setdefault(g.query_id, {})[g.rank] = g.vec_id
+    for q in range(0, 600, 20):
+        s = np.array([np.dot(x[q], e) for e in x])
+        s[q] = -np.inf
+        assert [got[q][r] for r in range(1, 11)] == sorted(range(600), key=lambda i: (-round(s[i], 12), i))[:10]
 
 
 def test_toxicity_held_out_and_gradients(spark):
