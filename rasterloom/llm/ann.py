@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import Cuts, table
+from rasterloom.llm.common import Cuts, lowest, table
 
 
 def halve(x: np.ndarray, cells: int) -> np.ndarray:
@@ -200,7 +200,7 @@ def nearest_rows(vectors: DataFrame, queries: Column, k: int = 20, id_: str = "v
         return spark.createDataFrame([], shape)
     dim, n, top = lengths[0]
     rows = rows.where(F.col("n") == dim)
-    drawn = rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(sample).toPandas()
+    drawn = lowest(rows.select(F.xxhash64("v").alias("h"), "v"), sample, n).distinct().orderBy("h", "v").limit(sample).toPandas()
     x = _matrix(drawn["v"])
     x = np.hstack([x, np.sqrt(np.maximum(top - (x**2).sum(1, keepdims=True), 0))])
     lists = max(1, min(max_lists, n // per_list, len(x) // 4))

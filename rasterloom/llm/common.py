@@ -68,6 +68,22 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def lowest(rows: DataFrame, most: int, total: int | None = None) -> DataFrame:
+    """Rows whose hash (column ``h``, 64 bits) is under a bound that leaves at least ``most`` distinct hashes.
+
+    All rows where they have fewer. A caller that orders by h and takes ``most`` gets the same rows as from
+    the whole table, but sorts and moves a number of them that does not grow with the table.
+    """
+    total = rows.count() if total is None else total
+    share = 2 * most / max(1, total)
+    while share < 1:
+        some = rows.where(F.col("h") <= F.lit(int(share * 2.0**64) - 2**63))
+        if some.select("h").distinct().limit(most).count() >= most:
+            return some
+        share *= 4
+    return rows
+
+
 def text_key(text: Column) -> list[Column]:
     """Two longs that stand for a whole text: 64 bits of xxhash, and crc32 with the length."""
     return [

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import table
+from rasterloom.llm.common import lowest, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -240,7 +240,7 @@ def fit_rows(docs: DataFrame, text: str = "text", most: int = 1500) -> Tagger:
     """Fits on the ``most`` whole texts with a digit or an "@" that have the lowest hashes."""
     t = F.col(text).cast("string")
     rows = docs.select(t.alias("t")).where(t.rlike("[0-9@]")).select(F.xxhash64("t").alias("h"), F.char_length("t").alias("n"), "t")
-    rows = rows.select("h", "n", "t").dropDuplicates(["h", "n"]).orderBy("h", "n").limit(most)
+    rows = lowest(rows, most).dropDuplicates(["h", "n"]).orderBy("h", "n").limit(most)
     return fit([r.t for r in rows.collect()])
 
 

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rasterloom.llm import ann, credentials, hilbert, mixing, packing, pii, toxicity, winnow
+from rasterloom.llm.common import lowest
 
 
 def docs(spark, texts, extra=""):
@@ -207,6 +208,14 @@ def test_secrets(spark):
     assert masked[1].m == "" and "12345678" not in masked[-2].m and masked[-1].m == texts[-1] and masked[0].m is None
 
 
+def test_lowest_hashes_are_those_of_the_whole_table(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("h"), F.lit(None).alias("t")).union(spark.range(3000).select(F.xxhash64(F.lit(1)).alias("h"), F.lit(None).alias("t")))
+    want = [r.h for r in rows.select("h").distinct().orderBy("h").limit(20).collect()]
+    some = lowest(rows, 20)
+    assert [r.h for r in some.select("h").distinct().orderBy("h").limit(20).collect()] == want
+    assert some.count() < 2000 and lowest(rows, 6000).count() == 8000 and lowest(rows.limit(0), 5).count() == 0
+
+
 def test_personal_data(spark):
     plain = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
