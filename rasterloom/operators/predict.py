@@ -74,6 +74,52 @@ def decode_by_sums(res: DataFrame, name: str, size: int = 2) -> DataFrame:
     return d.select("tile", "y", "x", _mod(F.col("v"), size).alias("v"))
 
 
+def weighted(n: np.ndarray, nw: np.ndarray, ne: np.ndarray, nn: np.ndarray, c: tuple, shift: int) -> np.ndarray:
+    """What ``fixed`` adds to W, in wrapping 64-bit sums with an arithmetic shift, as patterns of n's type."""
+    half = np.int64((1 << (shift - 1)) if shift else 0)
+    total = sum(np.int64(k) * x.astype(np.int64) for k, x in zip(c, (n, nw, ne, nn), strict=True)) + half
+    return (total >> np.int64(shift)).astype(n.dtype)
+
+
+def around(v: np.ndarray) -> tuple[np.ndarray, ...]:
+    """W, N, NW, NE and NN of a (rows, width) block; 0 beyond the edges."""
+    p = np.pad(v, ((2, 0), (1, 1)))
+    return p[2:, :-2], p[1:-1, 1:-1], p[1:-1, :-2], p[1:-1, 2:], p[:-2, 1:-1]
+
+
+def _plane_cost(z: np.ndarray) -> float:
+    planes = z.reshape(-1).view(np.uint8).reshape(-1, z.itemsize)
+    counts = (np.bincount(planes[:, i], minlength=256) for i in range(z.itemsize))
+    return float(sum(-(c[c > 0] * np.log2(c[c > 0] / len(planes))).sum() for c in counts))
+
+
+def train_block(v: np.ndarray) -> tuple[tuple[int, int, int, int], int]:
+    """(coefficients, shift) for one tile of any sample size, by the rules of ``train``.
+
+    Wide samples are scaled by their largest neighbour before the sums, and the solution has to be 0.3 %
+    smaller than planar's residuals there.
+    """
+    wide, best, least = v.itemsize > 2, ((1, -1, 0, 0), 0), None
+    if v.shape[0] < 3 or v.shape[1] < 3:
+        return best
+    w, *near = around(v)
+    inner = [x[2:, 1:-1].reshape(-1).astype(np.float64) for x in near]
+    t = v[2:, 1:-1].reshape(-1).astype(np.float64) - w[2:, 1:-1].reshape(-1).astype(np.float64)
+    if wide:
+        top = max(float(x.max()) for x in inner) or 1.0
+        inner, t = [x / top for x in inner], t / top
+    names = ["n", "nw", "ne", "nn"]
+    row = {f"{names[i]}_{names[j]}": inner[i] @ inner[j] for i in range(4) for j in range(i, 4)}
+    row |= {f"{names[i]}_t": inner[i] @ t for i in range(4)}
+    for *c, shift in candidates(row):
+        r = v - (w + weighted(*near, tuple(c), shift))
+        one, top_bit = r.dtype.type(1), r.dtype.type(8 * r.itemsize - 1)
+        cost = _plane_cost(np.ascontiguousarray((r << one) ^ (np.zeros_like(r) - (r >> top_bit))))
+        if least is None or cost < least * (1 - 0.003 * (wide and best[1] == 0 and best[0] == (1, -1, 0, 0))):
+            best, least = (tuple(c), shift), cost
+    return best
+
+
 def decode_block(r: np.ndarray, name: str, coefficients: tuple = (1, -1, 0, 0), shift: int = 0) -> np.ndarray:
     """A tile's samples (rows, width) from med, average or wp_static residuals, in wrapping arithmetic.
 
@@ -82,14 +128,11 @@ def decode_block(r: np.ndarray, name: str, coefficients: tuple = (1, -1, 0, 0),
     """
     h, w = r.shape
     if name == "wp_static":
-        out = np.zeros((h + 2, w + 2), np.int64)
-        mask = int(np.iinfo(r.dtype).max)
-        half = (1 << (shift - 1)) if shift else 0
+        out = np.zeros((h + 2, w + 2), r.dtype)
         for y in range(h):
-            up, upup = out[y + 1], out[y]
-            add = (coefficients[0] * up[1:-1] + coefficients[1] * up[:-2] + coefficients[2] * up[2:] + coefficients[3] * upup[1:-1] + half) >> shift
-            out[y + 2, 1:-1] = np.cumsum(r[y].astype(np.int64) + add) & mask
-        return out[2:, 1:-1].astype(r.dtype)
+            add = weighted(out[y + 1, 1:-1], out[y + 1, :-2], out[y + 1, 2:], out[y, 1:-1], coefficients, shift)
+            out[y + 2, 1:-1] = np.cumsum(r[y] + add, dtype=r.dtype)
+        return out[2:, 1:-1]
     v = np.zeros((h + 1, w + 1), r.dtype)
     for d in range(h + w - 1):
         y = np.arange(max(0, d - w + 1), min(h, d + 1))

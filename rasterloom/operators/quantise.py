@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.recipes import Error
-from rasterloom.functions.types import BY_NAME, Kind
+from rasterloom.functions.types import BY_NAME, NUMPY, Kind, half_bits
 
 EPS = 2.0**-52
 #: Bits of span on values by type, span and anchor on indices of float types.
@@ -204,3 +207,100 @@ def verify(both: DataFrame, error: Error, x: str = "v", y: str = "w") -> DataFra
 def plan_for(px: DataFrame, error: Error, kind: str) -> Plan:
     """Scans the product (one job, one row to the driver) and cuts its grid."""
     return resolve(error, kind, scan(px, error.family).first().asDict())
+
+
+def carrier(kind: str) -> np.dtype:
+    """The integer type of a kind's stream: its own, or a signed one of the same size for float types."""
+    k = BY_NAME[kind]
+    return np.dtype(NUMPY[kind]) if k.integer else np.dtype(f"i{k.size}")
+
+
+def _whole_steps(v: np.ndarray, s: int) -> np.ndarray:
+    """Integers to the nearest multiple of s, halves away from zero, cut to the type; no step overflows."""
+    info = np.iinfo(v.dtype)
+    s = min(s, 2**63)
+    negative = v < 0
+    a = np.where(negative, np.uint64(0) - v.astype(np.uint64), v.astype(np.uint64))
+    top = np.where(negative, np.uint64(-int(info.min)), np.uint64(info.max))
+    low = a - a % np.uint64(s)
+    up = a - low >= np.uint64(s - s // 2)
+    q = np.where(up, np.where(top - low < np.uint64(s), top, low + np.uint64(s)), low)
+    return np.where(negative, np.uint64(0) - q, q).astype(v.dtype)
+
+
+def encode_array(p: Plan, v: np.ndarray) -> np.ndarray:
+    """As ``encode``, for the samples of one tile; the stream has the type of ``carrier``."""
+    k, out = BY_NAME[p.kind], carrier(p.kind)
+    if p.family == "LINEAR" and k.integer:
+        return _whole_steps(v, int(p.step))
+    x = v.astype(np.float64)
+    with np.errstate(all="ignore"):
+        if p.family == "LINEAR":
+            q = np.clip(np.rint(np.where(np.isnan(x), 0.0, x) / p.step), -float(k.stream), float(k.stream))
+            return (q * p.step if p.values else q).astype(out)
+        if p.family == "LOG":
+            a, inv = np.abs(x), 1.0 / p.step
+            none = np.isnan(x) | (x == 0)
+            a = np.where(none, 1.0, a)
+            if p.values:
+                j = np.floor(np.log2(a) * inv + 0.5)
+                level = np.minimum(np.floor(np.exp2(j * p.step) + 0.5), float(k.hi if k.lo == 0 else -k.lo))
+                q = np.minimum(np.where(none, 0.0, np.copysign(level, x)), float(k.hi))
+                if not k.integer:
+                    q = np.clip(q, -float(k.stream), float(k.stream))
+                return q.astype(out)
+            m = np.clip(np.where(np.isinf(a), p.top, np.floor((np.log2(a) - INDEX[p.kind][1]) * inv + 1.5)), 1.0, p.top)
+            return np.where(none, 0.0, np.copysign(m, x)).astype(out)
+        t = (x + p.offset) * (1.0 / (p.step * p.step))
+        q = np.where((t <= 0.25) | np.isnan(t), 0.0, np.floor(0.5 + np.sqrt(np.maximum(t - 0.25, 0.0))))
+        if not p.values:
+            return np.minimum(q, float(k.stream)).astype(out)
+        u = q * p.step
+        u = np.clip(u * u - p.offset, float(k.lo), float(k.hi))
+        return np.clip(np.copysign(np.floor(np.abs(u) + 0.5), u), *((float(k.lo), float(k.hi)) if k.integer else (-float(k.stream), float(k.stream)))).astype(out)
+
+
+def decode_array(p: Plan, q: np.ndarray) -> np.ndarray:
+    """As ``decode``: samples of the kind's type (half precision as its numpy type)."""
+    k = BY_NAME[p.kind]
+    floor0 = p.floor0 and k.lo < 0
+    if k.integer:
+        return np.maximum(q, 0) if floor0 and p.family != "SQRT" else q
+    x = q.astype(np.float64)
+    with np.errstate(all="ignore"):
+        if p.values:
+            pass
+        elif p.family == "LINEAR":
+            x = x * p.step
+        elif p.family == "LOG":
+            x = np.where(x == 0, 0.0, np.copysign(np.exp2(INDEX[p.kind][1] + (np.abs(x) - 1) * p.step), x))
+        else:
+            u = x * p.step
+            x = u * u - p.offset
+        x = np.clip(np.maximum(x, 0.0) if floor0 else x, float(k.lo), float(k.hi))
+    return half_bits(x).view(np.float16) if p.kind == "f16" else x.astype(NUMPY[p.kind])
+
+
+def scan_tiles(tiles: DataFrame, kind: str) -> dict:
+    """What all three families need to know of a product in tile form, as one row.
+
+    Each tile gives one row of partial figures. Declared holes count as any other sample, as the grid is cut
+    on the raw product; any_nan tells whether NaNs have to be taken for holes.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for data in f["data"]:
+                v = np.frombuffer(data, np.dtype(NUMPY[kind]).newbyteorder("<")).astype(np.float64)
+                ok = v[np.isfinite(v)]
+                a = np.abs(ok[ok != 0])
+                none = [None] * 4
+                ends = [float(a.min()) if len(a) else None, float(np.abs(ok).max()), float(ok.min()), float(ok.max())] if len(ok) else none
+                rows.append((*ends, bool((v < 0).any()), bool((a < 2.2250738585072014e-308).any()), len(ok) < len(v), bool(np.isnan(v).any())))
+            yield pd.DataFrame(rows, columns=["min_abs", "max_abs", "lo", "hi", "any_negative", "any_subnormal", "any_non_finite", "any_nan"])
+
+    flags = ("any_negative", "any_subnormal", "any_non_finite", "any_nan")
+    part = tiles.select("data").mapInPandas(run, "min_abs double, max_abs double, lo double, hi double, " + ", ".join(f"{c} boolean" for c in flags))
+    row = part.agg(F.coalesce(F.min("min_abs"), F.lit(float("inf"))).alias("min_abs"), F.coalesce(F.max("max_abs"), F.lit(0.0)).alias("max_abs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in flags))
+    return row.first().asDict()

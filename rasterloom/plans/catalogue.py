@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.recipes import METHODS, grid, parse_error
-from rasterloom.operators import noise, predict, quantise, split
-from rasterloom.plans import graph
+from rasterloom.operators import bins, noise, predict, quantise, split
+from rasterloom.plans import codecs, graph
 from rasterloom.sources import rasters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -391,7 +391,7 @@ def _tiles(spark, d):
     return rasters.to_tiles(rasters.u16(spark, d), "u16")
 
 
-for _m in ("planar>zigzag>transpose>entropy", "med>zigzag>store_lo", "average>zigzag>zstd", "delta_1d>transpose>zstd", "id>field_lz"):
+for _m in ("planar>zigzag>transpose>entropy", "med>zigzag>store_lo", "average>zigzag>zstd", "wp_static>zigzag>entropy", "delta_1d>transpose>zstd", "id>field_lz"):
     query(ORIGINAL, "frame_" + _m.replace(">", "_"))(lambda s, d, m=_m: rasters.from_tiles(graph.decompress(graph.compress(_tiles(s, d), graph.Graph(m, 2, 100))), "u16"))
 
 
@@ -401,6 +401,51 @@ def frame_heads(spark, d):
     return f.select("tile", "n", "width", F.col("elt").alias("size"))
 
 
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c.name}', {c.outputs}, {i > codecs.LOSSLESS_LAST})" for i, c in codecs.REGISTRY.items()) + ") t(codec, name, streams, lossy)")
+def codec_registry(spark, d):
+    return spark.createDataFrame([(i, c.name, c.outputs, codecs.lossy(i)) for i, c in codecs.REGISTRY.items()], "codec int, name string, streams int, lossy boolean")
+
+
+@query(f"WITH {U16} SELECT DISTINCT tile, unnest([0, 1]) AS place, unnest([{0x72D781}, {0x72D703}]) AS codec, unnest(['quant_linear', 'planar']) AS name, unnest([true, false]) AS lossy, unnest(['01030000000000002440', '64000000']) AS header FROM u16")
+def frame_steps(spark, d):
+    """The steps in each frame of a product within 5 of its samples, and their header bytes."""
+    tiles = _tiles(spark, d)
+    return graph.frame_steps(graph.compress(tiles, graph.graph_for(tiles, "planar>zigzag>entropy", "u16", 100, ERRORS["linear_int"])))
+
+
+@query(f"SELECT tile, y, x, q AS v FROM ({_Q_INT})")
+def frame_linear_int(spark, d):
+    tiles = _tiles(spark, d)
+    g = graph.graph_for(tiles, "med>zigzag>transpose>entropy", "u16", 100, ERRORS["linear_int"])
+    return rasters.from_tiles(graph.decompress(graph.compress(tiles, g)), "u16")
+
+
+@query(f"{_FILL}, p AS (SELECT 2 * (0.5e0 - 2 * 1.1102230246251565e-16 * max(abs(v))) AS s FROM holed) SELECT tile, y, x, CASE WHEN g IS NULL THEN -9999e0 ELSE round(round_even(f / s, 0) * s, 6) END AS v FROM f, p")
+def frame_linear_holes(spark, d):
+    """Floats with a sentinel through one grid of the raw product; holes come back as they were."""
+    tiles = rasters.to_tiles(rasters.holed(spark, d), "f64")
+    g = graph.graph_for(tiles, "planar>zigzag>transpose>zstd", "f64", 50, ERRORS["linear"], -9999.0)
+    return rasters.from_tiles(graph.decompress(graph.compress(tiles, g)), "f64").withColumn("v", F.round("v", 6))
+
+
+BIN_LOG, BIN_META = 6, 30.0
+
+
+@query()
+def binoffset_histogram(spark, d):
+    return bins.histogram(rasters.u16(spark, d), BIN_LOG)
+
+
+@query()
+def binoffset_merged(spark, d):
+    return bins.tables(rasters.u16(spark, d), BIN_LOG, BIN_META)
+
+
+@query(ORIGINAL)
+def binoffset_packed(spark, d):
+    return rasters.from_tiles(bins.unpacked_tiles(bins.packed_tiles(_tiles(spark, d), BIN_LOG, BIN_META)), "u16")
+
+
 @query()
 def profile_sizes(spark, d):
     return graph.profile(_tiles(spark, d).where("tile = 0")).select("tile", "graph", "bytes", "ratio", "shannon_pct")

@@ -1,7 +1,8 @@
 """Whole graphs over tiles: compress, decompress and profile.
 
-A frame holds the magic ``RLF1``, its method, type, width and count, headers of the steps, and streams with
-a crc32 of the plain bytes (none where values were quantised). One row is one tile; tiles go through Arrow
+A frame holds the magic ``RLF2``, its method, size, width and count, the ids and headers of its steps, and
+streams with a crc32 of the plain bytes (none where values were quantised). Steps are codecs of
+``plans.codecs``: holes, quantiser, predictor, in this order. One row is one tile; tiles go through Arrow
 batches on their own, with a graph that the driver built once for the product.
 """
 
@@ -18,21 +19,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from rasterloom.functions.recipes import grid, parse_method
-from rasterloom.functions.types import KINDS, UNSIGNED
-from rasterloom.operators.predict import decode_block
+from rasterloom.functions.recipes import grid, parse_error, parse_method
+from rasterloom.functions.types import BY_NAME, KINDS, NUMPY, UNSIGNED
+from rasterloom.operators import quantise
+from rasterloom.plans import codecs
 
-MAGIC = b"RLF1"
+MAGIC = b"RLF2"
 
 
 @dataclass(frozen=True)
 class Graph:
-    """What a product's tiles go through: method, sample size, row width, an optional sentinel pattern."""
+    """What a product's tiles go through: method, sample size, row width, holes (a pattern or "nan"), a plan."""
 
     method: str
     size: int
     width: int
-    hole: int | None = None
+    hole: int | str | None = None
+    plan: quantise.Plan | None = None
 
     def __post_init__(self) -> None:
         parse_method(self.method, self.size)
@@ -40,33 +43,42 @@ class Graph:
             raise ValueError("samples have 1, 2, 4 or 8 bytes")
         if self.width < 1:
             raise ValueError("width has to be 1 or more")
-
-
-def _predict(v: np.ndarray, name: str) -> np.ndarray:
-    """Residuals of a (rows, width) block in wrapping arithmetic."""
-    p = np.zeros((v.shape[0] + 1, v.shape[1] + 1), v.dtype)
-    p[1:, 1:] = v
-    w, n, nw = p[1:, :-1], p[:-1, 1:], p[:-1, :-1]
-    if name == "delta_w":
-        return v - w
-    if name == "delta_n":
-        return v - n
-    if name in ("planar", "wp_static"):
-        return v - (w + n - nw)
-    if name == "med":
-        lo, hi = np.minimum(w, n), np.maximum(w, n)
-        return v - np.where(nw >= hi, lo, np.where(nw <= lo, hi, w + n - nw))
-    return v - ((w >> 1) + (n >> 1) + (w & n & 1))
-
-
-def _restore(r: np.ndarray, name: str) -> np.ndarray:
-    if name == "delta_w":
-        return np.cumsum(r, axis=1, dtype=r.dtype)
-    if name == "delta_n":
-        return np.cumsum(r, axis=0, dtype=r.dtype)
-    if name in ("planar", "wp_static"):
-        return np.cumsum(np.cumsum(r, axis=1, dtype=r.dtype), axis=0, dtype=r.dtype)
-    return decode_block(r, name)
+        if self.plan and BY_NAME[self.plan.kind].size != self.size:
+            raise ValueError("the plan is for samples of another size")
+
+
+def hole_pattern(kind: str, nodata: float | int) -> int | str:
+    """A declared sentinel as the bits of a sample; NaN of a float type stands for every NaN."""
+    k = BY_NAME[kind]
+    if k.integer:
+        if nodata != int(nodata) or not np.iinfo(NUMPY[kind]).min <= int(nodata) <= np.iinfo(NUMPY[kind]).max:
+            raise ValueError(f"{nodata} is no {kind}")
+        return int(nodata) % (1 << (8 * k.size))
+    if nodata != nodata:
+        return "nan"
+    if kind == "f16":
+        raise ValueError("half precision can't carry a sentinel")
+    with np.errstate(over="ignore"):
+        v = np.array([nodata], NUMPY[kind])
+    if np.isinf(v[0]) and not np.isinf(nodata):
+        raise ValueError(f"{nodata} is no {kind}")
+    return int(v.view(UNSIGNED[k.size])[0])
+
+
+def graph_for(tiles: DataFrame, method: str, kind: str, width: int, error: str | None = None, nodata: float | None = None) -> Graph:
+    """The graph of a whole product: one scan of all its tiles, before holes are filled, cuts one grid for all.
+
+    Holes are the declared sentinel's samples, else NaNs where a float product has any. A lossless graph
+    of an integer product needs no scan.
+    """
+    recipe, k = parse_error(error), BY_NAME[kind]
+    hole = None if nodata is None else hole_pattern(kind, nodata)
+    if not recipe and (k.integer or hole is not None):
+        return Graph(method, k.size, width, hole)
+    seen = quantise.scan_tiles(tiles, kind)
+    if hole is None and not k.integer and seen["any_nan"]:
+        hole = "nan"
+    return Graph(method, k.size, width, hole, quantise.resolve(recipe, kind, seen) if recipe else None)
 
 
 def _zig(r: np.ndarray) -> np.ndarray:
@@ -135,28 +147,26 @@ def compress_tile(g: Graph, data: bytes) -> bytes:
     n, (predictor, terminal) = len(v), parse_method(g.method, g.size)
     if n % g.width and n:
         raise ValueError("width does not divide the samples")
-    head = {"method": g.method, "size": g.size, "width": g.width, "n": n, "crc": zlib.crc32(data)}
-    mask = b""
-    if g.hole is not None:
-        holes = v == v.dtype.type(g.hole)
-        head["hole"], head["code"] = g.hole, 2 if not holes.any() else 3 if holes.all() else 1
-        if head["code"] == 1:
-            mask = _squeeze(np.packbits(~holes).tobytes())
-            rows = v.reshape(-1, g.width).copy()
-            ok = ~holes.reshape(rows.shape)
-            last = np.maximum.accumulate(np.where(ok, np.arange(g.width), -1), axis=1)
-            rows = np.where(last >= 0, np.take_along_axis(rows, np.maximum(last, 0), 1), 0)
-            up = np.maximum.accumulate(np.where(last >= 0, np.arange(len(rows))[:, None], -1), axis=0)
-            v = np.where(up >= 0, np.take_along_axis(rows, np.maximum(up, 0), 0), 0).astype(v.dtype).reshape(-1)
-        elif head["code"] == 3:
-            v = v[:0]
-    if predictor == "delta_1d":
-        v = np.diff(v, prepend=v.dtype.type(0))
-    elif predictor != "id" and len(v):
-        v = _zig(_predict(v.reshape(-1, g.width), predictor)).reshape(-1)
+    head = {"method": g.method, "size": g.size, "width": g.width, "n": n, "crc": None if g.plan else zlib.crc32(data)}
+    steps, mask = [], b""
+
+    def step(name: str, v: np.ndarray, **parameters) -> list[np.ndarray]:
+        header, out = codecs.encode(name, v, **parameters)
+        steps.append((codecs.IDS[name], header.hex()))
+        return out
+
+    if g.hole is not None and n:
+        v, valid = step("nodata", v, hole=g.hole, width=g.width)
+        mask = _squeeze(valid.tobytes()) if len(valid) else b""
+    if len(v):
+        if g.plan:
+            (v,) = step(codecs.FAMILIES[g.plan.family], v, plan=g.plan)
+        if predictor == "delta_1d":
+            v = np.diff(v, prepend=v.dtype.type(0))
+        elif predictor != "id":
+            v = _zig(step(predictor, v, width=g.width)[0])
     parts = _terminal(np.ascontiguousarray(v), terminal) if len(v) else []
-    head["streams"] = [(c, len(b)) for c, b in parts]
-    head["mask"] = len(mask)
+    head |= {"m": len(v), "steps": steps, "streams": [(c, len(b)) for c, b in parts], "mask": len(mask)}
     h = json.dumps(head, separators=(",", ":")).encode()
     return MAGIC + struct.pack("<I", len(h)) + h + mask + b"".join(b for _, b in parts)
 
@@ -169,15 +179,18 @@ def frame_head(frame: bytes) -> dict:
     try:
         head = json.loads(frame[8 : 8 + n])
         want = 8 + n + head["mask"] + sum(k for _, k in head["streams"])
+        fits = len(frame) == want and head["size"] in UNSIGNED and 1 <= head["width"] and not head["n"] % head["width"]
+        steps = [(int(i), bytes.fromhex(h)) for i, h in head["steps"]]
     except (ValueError, KeyError, TypeError) as e:
         raise ValueError("damaged frame head") from e
-    if len(frame) != want or head["size"] not in UNSIGNED or not 1 <= head["width"] or head["n"] % head["width"]:
+    if not fits:
         raise ValueError("damaged frame")
-    return head | {"at": 8 + n}
+    return head | {"at": 8 + n, "steps": steps}
 
 
-def decompress_tile(frame: bytes, verify: bool = True) -> bytes:
-    head = frame_head(frame)
+def _open(frame: bytes, head: dict) -> bytes:
+    import zstandard
+
     at, dtype = head["at"], np.dtype(UNSIGNED[head["size"]])
     predictor, _ = parse_method(head["method"], head["size"])
     mask, at = frame[at : at + head["mask"]], at + head["mask"]
@@ -185,23 +198,33 @@ def decompress_tile(frame: bytes, verify: bool = True) -> bytes:
     for coder, n in head["streams"]:
         parts.append((coder, frame[at : at + n]))
         at += n
-    if head.get("code") == 3:
-        v = np.full(head["n"], head["hole"], dtype)
-    else:
-        v = _streams(parts, head["n"], dtype) if parts else np.zeros(0, dtype)
-        if len(v) != head["n"]:
-            raise ValueError("damaged streams")
-        if predictor == "delta_1d":
-            v = np.cumsum(v, dtype=dtype)
-        elif predictor != "id" and len(v):
-            v = _restore(_unzig(v).reshape(-1, head["width"]), predictor).reshape(-1)
-        if head.get("code") == 1:
-            import zstandard
-
-            ok = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(mask), np.uint8))[: head["n"]].astype(bool)
-            v = np.where(ok, v, dtype.type(head["hole"]))
-    data = np.ascontiguousarray(v).tobytes()
-    if verify and zlib.crc32(data) != head["crc"]:
+    v = _streams(parts, head["m"], dtype) if parts else np.zeros(0, dtype)
+    if len(v) != head["m"]:
+        raise ValueError("damaged streams")
+    if predictor == "delta_1d":
+        v = np.cumsum(v, dtype=dtype)
+    for codec, header in reversed(head["steps"]):
+        name = codecs.NAMES.get(codec)
+        if name == "nodata":
+            valid = zstandard.ZstdDecompressor().decompress(mask) if mask else b""
+            v = codecs.decode(codec, header, [v, np.frombuffer(valid, np.uint8)])
+        else:
+            v = codecs.decode(codec, header, [_unzig(v) if name == predictor else v])
+    if len(v) != head["n"]:
+        raise ValueError("damaged streams")
+    return np.ascontiguousarray(v).tobytes()
+
+
+def decompress_tile(frame: bytes, verify: bool = True) -> bytes:
+    """A tile's bytes; whatever is wrong with a frame is a ValueError."""
+    import zstandard
+
+    head = frame_head(frame)
+    try:
+        data = _open(frame, head)
+    except (zlib.error, zstandard.ZstdError, struct.error, KeyError, TypeError, IndexError, OverflowError) as e:
+        raise ValueError("damaged frame") from e
+    if verify and head.get("crc") is not None and zlib.crc32(data) != head["crc"]:
         raise ValueError("checksum does not match")
     return data
 
@@ -218,6 +241,17 @@ def compress(tiles: DataFrame, graph: Graph) -> DataFrame:
     return tiles.mapInPandas(run, "tile long, dtype int, frame binary")
 
 
+def frame_steps(frames: DataFrame) -> DataFrame:
+    """(tile, place, codec, name, lossy, header): the steps that a frame's reader undoes, headers as hex."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            rows = [(t, i, c, codecs.NAMES[c], codecs.lossy(c), h.hex()) for t, x in zip(f["tile"], f["frame"], strict=True) for i, (c, h) in enumerate(frame_head(x)["steps"])]
+            yield pd.DataFrame(rows, columns=["tile", "place", "codec", "name", "lossy", "header"])
+
+    return frames.mapInPandas(run, "tile long, place int, codec int, name string, lossy boolean, header string")
+
+
 def decompress(frames: DataFrame, verify: bool = True) -> DataFrame:
     """Tiles again: (tile, dtype, elt, width, n, data)."""
 
@@ -235,14 +269,14 @@ def _order0(data: bytes) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def profile_tile(data: bytes, size: int, width: int, prior: str | None = "planar", reps: int = 5, verify: bool = False) -> list[dict]:
+def profile_tile(data: bytes, size: int, width: int, prior: str | None = "planar", reps: int = 5, verify: bool = False, hole: int | str | None = None, plan: quantise.Plan | None = None) -> list[dict]:
     """A row for each method that works on the tile, the smallest frame first."""
     if reps < 1:
         raise ValueError("reps has to be 1 or more")
     shannon, rows = len(data) * _order0(data) / 8, []
     for name in grid(size, prior):
         try:
-            g = Graph(name, size, width)
+            g = Graph(name, size, width, hole, plan)
             spent = []
             for _ in range(reps):
                 t0 = time.perf_counter()
@@ -252,7 +286,7 @@ def profile_tile(data: bytes, size: int, width: int, prior: str | None = "planar
                 spent.append((t1 - t0, time.perf_counter() - t1))
         except ValueError:
             continue
-        if back != data:
+        if plan is None and hole != "nan" and back != data:
             raise AssertionError(name)
         e, d = (min(x) for x in zip(*spent, strict=True))
         speed = lambda s: len(data) / s / 1e6 if s > 0 else float("inf")
@@ -260,13 +294,13 @@ def profile_tile(data: bytes, size: int, width: int, prior: str | None = "planar
     return sorted(rows, key=lambda r: -r["ratio"])
 
 
-def profile(tiles: DataFrame, prior: str | None = "planar", reps: int = 1) -> DataFrame:
-    """Rows of ``profile_tile`` for every tile."""
+def profile(tiles: DataFrame, prior: str | None = "planar", reps: int = 1, hole: int | str | None = None, plan: quantise.Plan | None = None) -> DataFrame:
+    """Rows of ``profile_tile`` for every tile; holes and the plan are the product's, as in ``graph_for``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for t, e, w, d in zip(f["tile"], f["elt"], f["width"], f["data"], strict=True):
-                yield pd.DataFrame(profile_tile(d, int(e), int(w), prior, reps)).assign(tile=t)
+                yield pd.DataFrame(profile_tile(d, int(e), int(w), prior, reps, hole=hole, plan=plan)).assign(tile=t)
 
     return tiles.mapInPandas(run, "tile long, graph string, bytes long, ratio double, encode_mbps double, decode_mbps double, shannon_pct double")
 
