@@ -7,7 +7,7 @@ tokenizer's ids), so ORACLE_SQL is None and tests/llm hold run() against a plain
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import Cuts, table
@@ -20,44 +20,55 @@ from rasterloom.llm.toxicity import fit_rows, score_rows
 ORACLE_SQL = None
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """(r): whole rows as structs, so that no column of docs can clash with what a stage adds."""
+    return docs.select(F.struct(*docs.columns).alias("r"))
+
+
 def _drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose score is under 0.5. The model learns from labelled rows of docs."""
     model = fit_rows(docs, table(spark, sf_dir, "labels"))
-    return score_rows(docs, model, score="_score").where("_score < 0.5").select(*docs.columns)
+    rows = _held(docs).withColumn("text", F.col("r.text"))
+    return score_rows(rows, model).where("score < 0.5").select("r.*")
 
 
 def _drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component of linked documents: that of its smallest id, and of these rows one.
+    """Keeps one row of each component of linked documents: that of its smallest id.
 
-    Rows of one id are told apart by their texts; of rows alike in both, one stays. Rows without words
-    link with nothing and stay, and so do rows without an id whose component has none.
+    Ids are distinct but for repeated rows; those come down to one. Rows without an id come after all others,
+    by their texts' hashes. Rows without words link with nothing and stay.
     """
-    found = link_documents(docs).select("doc_id", "component_id", "n_shingles")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("most")).withColumnRenamed("doc_id", "_id")
-    out = docs.join(keep, docs.doc_id.eqNullSafe(F.col("_id"))).select(*docs.columns, "most")
-    blank = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " ")) == ""
-    full, empty = out.where(~blank), out.where(blank | F.col("most").isNull()).select(*docs.columns)
-    # Ids are distinct but for repeated rows; those come down to one.
-    return full.drop("most").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(empty)
+
+    def key(id_: str, text: str) -> Column:
+        return F.coalesce(F.col(id_).cast("long"), F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+
+    found = link_documents(docs.select(key("doc_id", "text").alias("doc_id"), "text"))
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    out = _held(docs).withColumn("id", key("r.doc_id", "r.text")).join(keep, "id")
+    blank = F.trim(F.regexp_replace(F.coalesce("r.text", F.lit("")), "[\\x20\\x09-\\x0D]+", " ")) == ""
+    full, empty = out.where(~blank), out.where(blank)
+    return full.dropDuplicates(["id"]).select("r.*").unionByName(empty.select("r.*"))
 
 
 def _mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces what the scan reports in each text by [SECRET]; documents without findings stay as they are."""
-    found = scan(docs)
-    text = masked(F.col("text"), F.col("secret_spans"))
+    found = scan(_held(docs).withColumn("plain", F.col("r.text")), "plain")
+    # A projection of its own: beside a new column "text", the length would be taken of a text masked twice.
+    found = found.withColumn("masked", masked(F.col("plain"), F.col("secret_spans")))
     hit = F.size("secret_spans") > 0
-    chars = F.when(hit, F.char_length(text).cast("long")).otherwise(F.col("n_chars").cast("long"))
-    return found.select(*(chars.alias(c) if c == "n_chars" else F.when(hit, text).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    new = {"text": F.col("masked"), "n_chars": F.char_length("masked")}
+    value = lambda c: F.when(hit, new[c].cast(docs.schema[c].dataType)).otherwise(F.col("r")[c]) if c in new else F.col("r")[c]
+    return found.select(*(value(c).alias(c) for c in docs.columns))
 
 
 def _mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents of small sources and thins out large ones, as their mixed weights ask."""
     n = docs.select("doc_id", "source", F.xxhash64("text").alias("h"), words(F.col("text")).alias("n"))
-    times = mix(n, F.col("n")).groupBy("doc_id", "source", "h").agg((F.count("*") / F.countDistinct("mix_pass")).alias("rows"), F.countDistinct("mix_pass").cast("int").alias("passes"))
+    times = mix(n, F.col("n")).groupBy("doc_id", "source", "h").agg(F.countDistinct("mix_pass").cast("int").alias("passes"))
     times = Cuts(spark)(times)
-    same = docs.doc_id.eqNullSafe(times.doc_id) & docs.source.eqNullSafe(times.source) & F.xxhash64(docs.text).eqNullSafe(times.h)
-    out = docs.join(times, same).select(*(docs[c] for c in docs.columns), times.passes)
-    return out.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
+    same = F.col("r.doc_id").eqNullSafe(times.doc_id) & F.col("r.source").eqNullSafe(times.source) & F.xxhash64("r.text").eqNullSafe(times.h)
+    out = _held(docs).join(times, same).select("r", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    return out.select("r.*")
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

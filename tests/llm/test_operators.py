@@ -298,3 +298,29 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "secrets":
             assert d.where("text like '%abcdefgh12%'").count() == 0 and d.count() == n
     assert d.count() > 0
+
+
+def test_pipeline_stages_with_clashing_columns_and_missing_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    base = [" ".join("w%d" % ((i * 7 + j * j) % 97) for j in range(40)) for i in range(6)]
+    texts = [(0, base[0]), (0, base[0]), (1, base[0]), (2, base[1]), (None, base[2]), (None, base[2]), (None, base[3]), (None, base[0] + " more"), (None, None), (3, "token=abcdefgh99 " + base[4][::-1])]
+    names = ["most", "passes", "score", "_score", "r", "id", "t", "h", "n", "secret_spans", "mix_pass", "key"]
+    shape = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} int" for c in names)
+    rows = [(i, t, None, "s", len(t) if t else None, *range(len(names))) for i, t in texts]
+    d = spark.createDataFrame(rows, shape)
+    spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for k, (name, stage) in enumerate(cp.STAGES[:-1]):
+        out = stage(spark, d, str(tmp_path))
+        assert out.dtypes == d.dtypes, name
+        out.write.parquet(str(tmp_path / f"c{k}"))
+        d = spark.read.schema(d.schema).parquet(str(tmp_path / f"c{k}"))
+        got = d.collect()
+        assert all(tuple(r)[5:] == tuple(range(len(names))) for r in got)
+        if name == "jaccard_join":
+            assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(0, base[0]), (2, base[1]), (None, base[2]), (None, base[3]), (None, None), (3, texts[-1][1])], key=str)
+        if name == "secrets":
+            (r,) = [r for r in got if r.doc_id == 3]
+            assert "abcdefgh99" not in r.text and r.n_chars == len(r.text)
+        if name == "mixing":
+            assert len(got) >= 6
