@@ -8,7 +8,7 @@ Rows of one group (equal texts) count as one place, that of their least coordina
 a cut moves to the edge of a group where that is within ``slack`` of a shard's size. Running sums are taken without a global window: groups of equal texts are
 added up first, then the groups in sub-cells (a cell and some bits of the text's hash), then sub-cells, of
 which there is a fixed number; rows within a group have one size, so their places need only counts, dealt
-by a hash of the id.
+by a hash of the id into parts whose number grows with the table, so that no group is one task's.
 """
 
 from __future__ import annotations
@@ -65,11 +65,12 @@ def quantised(rows: DataFrame, name: str, bits: int) -> Column:
     return F.when(c.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c.cast("string")), F.lit(1 << bits))).cast("long")
 
 
-def shard(rows: DataFrame, dimensions: list[str], size: Column, group: list[Column], tie: Column, shards: int = 16, bits: int = 3, slack: float = 0.05, spread: int = 16) -> DataFrame:
+def shard(rows: DataFrame, dimensions: list[str], size: Column, group: list[Column], tie: Column, shards: int = 16, bits: int = 3, slack: float = 0.05, deal: int = 20000) -> DataFrame:
     """The columns of rows, with shard, slot (gapless from 0 in each shard), bytes and cell (the curve's index).
 
     ``size`` must follow from ``group``. Shards' sums of size are equal to within a row, or ``slack`` of
-    a shard where a cut moved to the edge of a group. Nulls are values. Columns so named are replaced.
+    a shard where a cut moved to the edge of a group. A group is ranked in parts that hold at most about
+    ``deal`` rows. Nulls are values. Columns so named are replaced.
     """
     spark = rows.sparkSession
     cut = Cuts(spark)
@@ -77,7 +78,8 @@ def shard(rows: DataFrame, dimensions: list[str], size: Column, group: list[Colu
     names = rows.columns
     at = [quantised(rows, d, bits) for d in dimensions]
     x = rows.select(F.struct(*names).alias("r"), *(a.alias(f"d{i}") for i, a in enumerate(at)), F.xxhash64(*group).alias("g"), size.cast("long").alias("bytes"), F.xxhash64(tie).alias("tie"))
-    x = cut(x.withColumn("deal", F.pmod("tie", F.lit(spread))))
+    x = cut(x)
+    x = x.withColumn("deal", F.pmod("tie", F.lit(max(16, x.count() // deal))))
     d = [f"d{i}" for i in range(len(at))]
     run = lambda part, *by: W.partitionBy(*part).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
