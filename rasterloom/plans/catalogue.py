@@ -448,7 +448,7 @@ def binoffset_packed(spark, d):
 
 @query()
 def profile_sizes(spark, d):
-    return graph.profile(_tiles(spark, d).where("tile = 0")).select("tile", "graph", "bytes", "ratio", "shannon_pct")
+    return graph.profile(_tiles(spark, d)).select("tile", "graph", "bytes", "ratio", "shannon_pct")
 
 
 @query(

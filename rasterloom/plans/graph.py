@@ -297,10 +297,13 @@ def profile_tile(data: bytes, size: int, width: int, prior: str | None = "planar
 def profile(tiles: DataFrame, prior: str | None = "planar", reps: int = 1, hole: int | str | None = None, plan: quantise.Plan | None = None) -> DataFrame:
     """Rows of ``profile_tile`` for every tile; holes and the plan are the product's, as in ``graph_for``."""
 
+    names = ["graph", "bytes", "ratio", "encode_mbps", "decode_mbps", "shannon_pct"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for t, e, w, d in zip(f["tile"], f["elt"], f["width"], f["data"], strict=True):
-                yield pd.DataFrame(profile_tile(d, int(e), int(w), prior, reps, hole=hole, plan=plan)).assign(tile=t)
+                # A tile that no method takes has no rows, but their columns.
+                yield pd.DataFrame(profile_tile(d, int(e), int(w), prior, reps, hole=hole, plan=plan), columns=names).assign(tile=t)
 
     return tiles.mapInPandas(run, "tile long, graph string, bytes long, ratio double, encode_mbps double, decode_mbps double, shannon_pct double")
 
