@@ -2,7 +2,7 @@
 
 Strong parts are reported by themselves: ``assign`` (a secret's name and its value), ``access`` (access
 identifiers) and ``hex`` (long hexadecimal runs). Weak parts mean little alone: ``key`` (a mixed run of 32
-to 64 base-64 characters), ``user`` (an account's name and its value) and ``endpoint`` (a URL). A weak part
+or more base-64 characters), ``user`` (an account's name and its value) and ``endpoint`` (a URL). A weak part
 is reported only if it is joined, by intervals within a scope of characters, to the parts that complete it:
 a key to an identifier, a user to a secret, an endpoint to both. Identifiers are access and user parts;
 secrets are assign, hex and key parts.
@@ -23,7 +23,7 @@ ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"'
 #: Kind: pattern, the group that is measured, its least length.
 STRONG = {"assign": (ASSIGN, 2, 8), "access": ("(AKIA[A-Z0-9]+)", 1, 16), "hex": ("([0-9a-f]+)", 1, 32)}
 WEAK = {
-    "key": ("((?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,63}[0-9])(?=[A-Za-z0-9+/]{0,63}[A-Z])(?=[A-Za-z0-9+/]{0,63}[a-z])[A-Za-z0-9+/]{32,64}(?![A-Za-z0-9+/]))", 1, 32),
+    "key": ("((?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{32,})", 1, 32),
     "user": ("((?i:user(?:name)?|account|client_id|key_id|login))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9_.@-]+)", 2, 4),
     "endpoint": ("(https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\\x00-\\x20\"'<>]*)?)", 1, 12),
 }
