@@ -10,7 +10,8 @@ gets sqrt(M^2 - |x|^2) and a query 0, so that the nearest rows are those of larg
   goes to the nearest and, at a boundary, to others whose distance is within ``replicate`` of it
   (``copies`` at most). No row is left out.
 * **Search**: a query finds centroids by the same search; lists whose centroid is farther than
-  ``probe`` times the nearest are pruned. Lists are read in shards of bounded size, each giving its
+  ``probe`` times the nearest are pruned, once those before them hold k rows of other ids (each row counts
+  in its nearest list only, as replicas are no further rows). Lists are read in shards of bounded size, each giving its
   best; shares of a list with many rows lie in several shards, and many queries in several blocks.
 """
 
@@ -108,19 +109,24 @@ def _assign(graph: CentroidGraph, top: float, replicate: float, copies: int):
                 c, d = graph.search(x, 4 * copies)
                 keep = (c >= 0) & (d <= d[:, :1] * replicate + 1e-6) & (np.arange(c.shape[1]) < copies)
                 r, k = np.nonzero(keep)
-                yield pd.DataFrame({"list": c[r, k], "vec_id": g["vec_id"].to_numpy()[r], "v": g["v"].to_numpy()[r]})
+                yield pd.DataFrame({"list": c[r, k], "vec_id": g["vec_id"].to_numpy()[r], "v": g["v"].to_numpy()[r], "first": k == 0})
 
     return rows
 
 
-def _probe(graph: CentroidGraph, probe: float, width: int):
+def _probe(graph: CentroidGraph, probe: float, width: int, held: np.ndarray, k: int):
+    """held: rows whose nearest list it is, by list; ``same`` of a query's rows have its own id."""
+
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at in range(0, len(f), 512):
                 g = f.iloc[at : at + 512].reset_index(drop=True)
                 x = _matrix(g["v"])
                 c, d = graph.search(np.hstack([x, np.zeros((len(x), 1))]).astype(np.float32), width)
-                keep = (c >= 0) & (d <= d[:, :1] * probe + 1e-6)
+                own = np.where(c >= 0, held[c], 0)
+                before = np.cumsum(own, 1) - own
+                few = before < k + g["same"].to_numpy()[:, None]
+                keep = (c >= 0) & ((d <= d[:, :1] * probe + 1e-6) | few)
                 yield pd.DataFrame({"vec_id": g["vec_id"], "v": g["v"], "lists": [list(c[i][keep[i]]) for i in range(len(g))]})
 
     return rows
@@ -207,15 +213,19 @@ def nearest_rows(vectors: DataFrame, queries: Column, k: int = 20, id_: str = "v
     graph = CentroidGraph(halve(x, 1 << (lists.bit_length() - 1)).astype(np.float32))
     lists = len(graph.c)
 
-    index = cut(rows.select("vec_id", "v").mapInPandas(_assign(graph, top, replicate, copies), "list int, vec_id long, v array<double>"))
+    index = cut(rows.select("vec_id", "v").mapInPandas(_assign(graph, top, replicate, copies), "list int, vec_id long, v array<double>, first boolean"))
     n_index = index.count()
     shards = max(1, -(-n_index // shard_rows))
     # A list lies in the shards that its share of the rows asks for.
-    sizes = index.groupBy("list").agg(F.count("*").alias("c")).select("list", F.greatest(F.lit(1), F.ceil(F.col("c") / shard_rows)).cast("int").alias("shares"))
+    sizes = index.groupBy("list").agg(F.count("*").alias("c"), F.sum(F.col("first").cast("long")).alias("held")).select("list", F.greatest(F.lit(1), F.ceil(F.col("c") / shard_rows)).cast("int").alias("shares"), "held")
     sizes = cut(sizes)
-    small = F.broadcast(sizes)  # max_lists rows at most
+    held = np.zeros(lists, np.int64)
+    for s in sizes.collect():  # max_lists rows at most
+        held[s.list] = s.held
+    small = F.broadcast(sizes.drop("held"))
     placed = index.join(small, "list").withColumn("shard", F.pmod(F.col("list") + F.pmod(F.xxhash64("vec_id"), F.col("shares")), F.lit(shards)))
-    asked = rows.where("asks").select("vec_id", "v").mapInPandas(_probe(graph, probe, lists), "vec_id long, v array<double>, lists array<int>")
+    same = rows.groupBy("vec_id").agg(F.count("*").alias("same"), F.max("asks").alias("any")).where("any").select("vec_id", "same")
+    asked = rows.where("asks").select("vec_id", "v").join(same, "vec_id").mapInPandas(_probe(graph, probe, lists, held, k), "vec_id long, v array<double>, lists array<int>")
     asked = cut(asked)
     blocks = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
