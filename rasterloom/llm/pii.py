@@ -5,8 +5,9 @@ which the network is trained: characters in, tags (outside; begin and inside of
 transitions between tags. At inference windows of ``size`` characters, half a window apart, cover the text;
 each is decoded by Viterbi. Windows without a digit or an "@" are decoded as "outside": the decoder allows
 no other path there, as each kind of data holds one of these. Spans of all windows are then reconciled over
-the whole text: a span cut off at a window's inner edge gives way to the neighbouring window, where it lies
-whole; base spans win over overlapping ones, and of the others the set of greatest total score that does
+the whole text: a span cut off at a window's inner edge gives way to a neighbouring window, where it lies
+whole; where none holds it, its parts that meet are decoded again in a window around them, twice as long each
+time until no inner edge cuts it. Base spans win over overlapping ones, and of the others the set of greatest total score that does
 not overlap is kept.
 
 Patterns are matched in time linear in the text.
@@ -15,6 +16,7 @@ Patterns are matched in time linear in the text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -270,32 +272,56 @@ def reconcile(base: list[tuple[int, int, int]], found: list[tuple[float, int, in
     return sorted(out)
 
 
+def open_parts(cuts: list[tuple[int, int, int, int]], whole: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, stop, twice the window's length) of parts (kind, start, stop, window's length) that no whole span of their kind holds; those that meet are one."""
+    out: list[list[int]] = []
+    for kind in sorted({c[0] for c in cuts}):
+        own = sorted((a, b) for k, a, b in whole if k == kind)
+        starts, stops = [a for a, _ in own], np.maximum.accumulate([b for _, b in own]) if own else []
+        first = len(out)
+        for _, a, b, length in sorted(c for c in cuts if c[0] == kind):
+            j = bisect_right(starts, a)
+            if j and stops[j - 1] >= b:
+                continue
+            if len(out) > first and a <= out[-1][1]:
+                out[-1][1:] = max(b, out[-1][1]), max(2 * length, out[-1][2])
+            else:
+                out.append([a, b, 2 * length])
+    return [(a, b, n) for a, b, n in out]
+
+
 def tag_texts(net: Tagger, texts: list[str], size: int = 64, batch: int = 1024, least: float = 2.0) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
-    step, found, todo = size // 2, [[] for _ in texts], []
+    step, todo = size // 2, []
+    found, whole, cuts = [[] for _ in texts], [[] for _ in texts], [[] for _ in texts]
 
-    def run() -> None:
-        ids = np.full((size, len(todo)), 130)
-        for k, (_, _, s, _) in enumerate(todo):
+    def run(length: int) -> None:
+        ids = np.full((length, len(todo)), 130)
+        for k, (_, _, s, _, _) in enumerate(todo):
             ids[: len(s), k] = s
         path, gain = net.decode(ids)
         for k in np.flatnonzero(path.any(0)):
-            i, a, s, last = todo[k]
+            i, a, s, last, part = todo[k]
             p, n = path[:, k], len(s)
             b = np.flatnonzero((p[:n] % 2 == 1))
             for x in b:
                 y = x + 1
                 while y < n and p[y] == p[x] + 1:
                     y += 1
+                span = (int(p[x]) // 2, a + int(x), a + int(y))
+                if part and (span[1] >= part[1] or span[2] <= part[0]):
+                    continue
                 if (x == 0 and a) or (y == n and not last):
+                    cuts[i].append((*span, length))
                     continue
+                whole[i].append(span)
                 t = texts[i][a + x : a + y]
                 # The log odds of this span against none, the way back outside included.
                 score = float(gain[x : y + 1, k].sum())
                 # Whole words only.
                 inside = texts[i][a + x - 1 : a + x].isalnum() or texts[i][a + y : a + y + 1].isalnum()
                 if score >= least and y - x >= 6 and not inside and _TRIGGER.search(t):
-                    found[i].append((score, int(p[x]) // 2, a + int(x), a + int(y)))
+                    found[i].append((score, *span))
         todo.clear()
 
     for i, text in enumerate(texts):
@@ -305,11 +331,27 @@ def tag_texts(net: Tagger, texts: list[str], size: int = 64, batch: int = 1024,
         s = symbols(text)
         for w in sorted({max(0, x) for h in hits for x in (h - 1, h)}):
             a = w * step
-            todo.append((i, a, s[a : a + size], a + size >= len(s)))
+            todo.append((i, a, s[a : a + size], a + size >= len(s), None))
             if len(todo) == batch:
-                run()
+                run(size)
     if todo:
-        run()
+        run(size)
+    while any(cuts):
+        wider: dict[int, list[tuple[int, int, int]]] = {}
+        for i, c in enumerate(cuts):
+            for s, e, length in open_parts(c, whole[i]):
+                while length < e - s + size:
+                    length *= 2
+                wider.setdefault(length, []).append((i, s, e))
+        cuts[:] = [[] for _ in texts]
+        for length, some in sorted(wider.items()):
+            for i, s, e in some:
+                a = max(0, min((s + e - length) // 2, len(texts[i]) - length))
+                todo.append((i, a, symbols(texts[i][a : a + length]), a + length >= len(texts[i]), (s, e)))
+                if len(todo) * length >= batch * size:
+                    run(length)
+            if todo:
+                run(length)
     out = []
     for text, f in zip(texts, found, strict=True):
         base = base_spans(text)
