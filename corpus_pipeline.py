@@ -33,14 +33,16 @@ def _drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component of linked documents: that of its smallest id.
+    """Keeps one row of each component of linked documents: that of its smallest id, and of its texts' least hash.
 
-    Ids are distinct but for repeated rows; those come down to one. Rows without an id come after all others,
-    by their texts' hashes. Rows without words link with nothing and stay.
+    Id and text tell rows apart, so texts that share an id are decided each for itself; repeated rows come
+    down to one. Rows without an id come after all others. Rows without words link with nothing and stay.
     """
 
     def key(id_: str, text: str) -> Column:
-        return F.coalesce(F.col(id_).cast("long"), F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+        number = F.coalesce(F.col(id_).cast("long").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+        h = F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)).cast("decimal(19,0)")
+        return (number * F.lit(1 << 62).cast("decimal(19,0)") + h).cast("decimal(38,0)")
 
     found = link_documents(docs.select(key("doc_id", "text").alias("doc_id"), "text"))
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()

@@ -52,7 +52,7 @@ def _first(frames: Iterator[pd.DataFrame], k: int, often: int) -> Iterator[pd.Da
         yield out
         h, c = np.unique(np.concatenate(s), return_counts=True) if s else (np.zeros(0, np.uint64), np.zeros(0, int))
         h, c = h[c >= often], c[c >= often]
-        yield pd.DataFrame({"id": pd.array([None] * len(h), "Int64"), "k1": 0, "k2": 0, "k": 0, "n": -1, "h": h.view(np.int64), "c": c})
+        yield pd.DataFrame({"id": pd.Series([None] * len(h), dtype=object), "k1": 0, "k2": 0, "k": 0, "n": -1, "h": h.view(np.int64), "c": c})
 
 
 def leading(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
