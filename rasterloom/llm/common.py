@@ -7,6 +7,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,26 @@ def lowest(rows: DataFrame, most: int, total: int | None = None) -> DataFrame:
     return rows
 
 
+def lots(sizes: list[int], most: int) -> Iterator[slice]:
+    """Slices of rows whose sizes sum to at most ``most``, in order; a row beyond that is a slice of its own."""
+    a, size = 0, 0
+    for b, n in enumerate(sizes):
+        if b > a and size + n > most:
+            yield slice(a, b)
+            a, size = b, 0
+        size += n
+    if a < len(sizes):
+        yield slice(a, len(sizes))
+
+
+def free(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores behind it as keep it apart from the columns ``taken``, case aside."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def text_key(text: Column) -> list[Column]:
     """Two longs that stand for a whole text: 64 bits of xxhash, and crc32 with the length."""
     return [

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import Cuts, parts, table, text_key
+from rasterloom.llm.common import Cuts, lots, parts, table, text_key
 from rasterloom.llm.components import components
 from rasterloom.llm.shingles import sets
 
@@ -42,10 +42,21 @@ def _key(s: np.ndarray) -> int:
     return int((x * (x | np.uint64(1))).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
 
 
+#: Characters of text whose sets a worker holds at a time; a longer text is a lot of its own.
+_LOT = 1 << 23
+
+
+def _lots(frames: Iterator[pd.DataFrame], k: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """The rows in lots bounded by their texts' length, and their texts' sets."""
+    for f in frames:
+        for at in lots(f["t"].str.len().tolist(), _LOT):
+            g = f.iloc[at].reset_index(drop=True)
+            yield g, sets(list(g["t"]), k)
+
+
 def _first(frames: Iterator[pd.DataFrame], k: int, often: int) -> Iterator[pd.DataFrame]:
     """A row for each text with its key and size; and rows with shingles seen ``often`` in a batch."""
-    for f in frames:
-        s = sets(list(f["t"]), k)
+    for f, s in _lots(frames, k):
         out = f[["id", "k1", "k2"]].copy()
         out["k"], out["n"] = np.array([_key(x) for x in s], np.int64), np.array([len(x) for x in s], np.int64)
         out["h"], out["c"] = 0, 0
@@ -184,8 +195,7 @@ def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k:
     one = cut(one.select("k", "n", "copies", F.col("r.id").alias("id"), F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2")))
 
     def firsts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            s = sets(list(f["t"]), k)
+        for _, s in _lots(frames, k):
             yield pd.DataFrame({"k": [_key(x) for x in s], "n": [len(x) for x in s], "hs": [leading(x, frequent.value, num, den).view(np.int64) for x in s]})
 
     listed = rows.select("t").mapInPandas(firsts, "k long, n long, hs array<long>").where("n > 0")

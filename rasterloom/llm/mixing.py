@@ -6,8 +6,10 @@ possible) and no source is repeated more than a limit; a step asks Spark for sum
 sources alone. A budget of tokens times a source's weight is then filled with whole permutations of its
 documents and, last, a part of one: every pass has its own order, by a hash of the pass and the row.
 
-A permutation is dealt in blocks by hash, the token sums of blocks are added up first, and the running
-sum inside a block is taken by itself; a source with a third of all rows has as many more blocks.
+A pass is dealt in blocks of about ``block`` rows by its hash, the token sums of blocks are added up first,
+and the running sum inside a block is taken by itself; a source with a third of all rows has as many more
+blocks. Rows are copied once for every pass before they are ordered, so ``rows`` should be narrow: join wide
+columns by key afterwards.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ def exponent(sources: DataFrame, entropy: float, most_passes: float, budget: flo
     return max(by_entropy, min(1.0, by_passes + 1.0 / grid**steps) if by_passes > 0 else 0.0)
 
 
-def mix(rows: DataFrame, size: Column, source: str = "source", key: str = "doc_id", entropy: float = 0.98, most_passes: float = 4.0, budget: float = 1.0, block: int = 50000, most_exponent_steps: int = 4) -> DataFrame:
+def mix(rows: DataFrame, size: Column, source: str = "source", key: str = "doc_id", entropy: float = 0.98, most_passes: float = 4.0, budget: float = 1.0, block: int = 4096, most_exponent_steps: int = 4) -> DataFrame:
     """The columns of rows, with mix_pass (0: first), mix_tokens, mix_place (tokens of its source before it) and mix_weight.
 
     The budget is ``budget`` times the tokens in rows, split among the sources by weight; a row belongs to
@@ -81,11 +83,11 @@ def mix(rows: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     null source is a source. Repeated rows are rows of their own. An empty table gives an empty one. Where
     rows has columns of these names, they are replaced.
     """
-    spark = rows.sparkSession
-    cut = Cuts(spark)
+    cut = Cuts(rows.sparkSession)
     rows = rows.drop("mix_pass", "mix_tokens", "mix_place", "mix_weight")
     names = rows.columns
-    x = rows.select(F.struct(*names).alias("r"), F.col(source).alias("s"), F.col(key).cast("string").alias("k"), size.cast("long").alias("n"))
+    # Sizes are computed once.
+    x = cut(rows.select(F.struct(*names).alias("r"), F.col(source).alias("s"), F.col(key).cast("string").alias("k"), size.cast("long").alias("n")))
     per = x.groupBy("s").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
     per = cut(per.where("tokens > 0"))
     total = per.agg(F.sum("tokens")).first()[0]
@@ -101,20 +103,21 @@ def mix(rows: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     per = per.withColumn("part", F.col("goal") - F.col("whole") * F.col("tokens")).withColumn("blocks", F.ceil(F.col("rows") / block))
     per = cut(per.select(F.col("s").alias("of"), "tokens", "weight", "whole", "part", "blocks"))
 
-    # Only the last pass is partial, so only it needs running sums; rows are narrow until they are chosen.
-    # The order in the last pass: block by hash, then hash, then key and size; equal rows are interchangeable.
-    last = x.join(per, F.col("s").eqNullSafe(F.col("of"))).drop("of")
-    last = last.withColumn("order", F.xxhash64(F.lit("mix"), F.col("whole"), F.col("k"), F.col("n")))
-    last = last.withColumn("b", F.pmod(F.shiftrightunsigned("order", 20), F.col("blocks")))
-    in_block = last.groupBy("s", "b").agg(F.sum("n").alias("sum"))
-    before = in_block.withColumn("before", F.coalesce(F.sum("sum").over(W.partitionBy("s").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    before = before.select(F.col("s").alias("bs"), F.col("b").alias("bb"), "before")
-    last = last.join(before, F.col("s").eqNullSafe(F.col("bs")) & (F.col("b") == F.col("bb")))
-    at = F.coalesce(F.sum("n").over(W.partitionBy("s", "b").orderBy("order", "k", "n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
-    last = last.withColumn("at", at)
-    passes = F.when(F.col("at") < F.col("part"), F.col("whole") + 1).otherwise(F.col("whole")).cast("int")
-    out = last.withColumn("passes", passes).where("passes > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    return out.select("r.*", "mix_pass", F.col("n").alias("mix_tokens"), (F.col("mix_pass") * F.col("tokens") + F.col("at")).cast("long").alias("mix_place"), F.col("weight").alias("mix_weight"))
+    # Every pass is a permutation of its own: blocks by its hash of the row, then that hash, then key and size
+    # (rows equal in these are interchangeable). The last pass, number ``whole``, is cut at ``part`` tokens.
+    passes = F.sequence(F.lit(0).cast("long"), F.col("whole") - F.when(F.col("part") > 0, 0).otherwise(1))
+    x = x.join(per, F.col("s").eqNullSafe(F.col("of"))).drop("of").where((F.col("whole") > 0) | (F.col("part") > 0))
+    x = x.withColumn("pass", F.explode(passes)).withColumn("order", F.xxhash64(F.lit("mix"), F.col("pass"), F.col("k"), F.col("n")))
+    x = x.withColumn("b", F.pmod(F.shiftrightunsigned("order", 20), F.col("blocks")))
+    in_block = x.groupBy("s", "pass", "b").agg(F.sum("n").alias("sum"))
+    before = in_block.withColumn("before", F.coalesce(F.sum("sum").over(W.partitionBy("s", "pass").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # A block that begins behind the budget's end has no row in the mix.
+    before = before.select(F.col("s").alias("bs"), F.col("pass").alias("bp"), F.col("b").alias("bb"), "before")
+    x = x.join(before, F.col("s").eqNullSafe(F.col("bs")) & (F.col("pass") == F.col("bp")) & (F.col("b") == F.col("bb")))
+    x = x.where((F.col("pass") < F.col("whole")) | (F.col("before") < F.col("part")))
+    at = F.coalesce(F.sum("n").over(W.partitionBy("s", "pass", "b").orderBy("order", "k", "n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
+    x = x.withColumn("at", at).where((F.col("pass") < F.col("whole")) | (F.col("at") < F.col("part")))
+    return x.select("r.*", F.col("pass").cast("int").alias("mix_pass"), F.col("n").alias("mix_tokens"), (F.col("pass") * F.col("tokens") + F.col("at")).cast("long").alias("mix_place"), F.col("weight").alias("mix_weight"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

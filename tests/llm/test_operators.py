@@ -85,9 +85,9 @@ def test_toxicity_held_out_and_gradients(spark):
 
 def test_mixing_meets_budget_and_order(spark):
     rows = spark.createDataFrame([(i, "big" if i % 10 else ("small" if i % 20 else None), 1 + i % 7, i) for i in range(2000)], "doc_id long, source string, n long, mix_pass int")
-    for block in (50000, 100):
+    for block in (4096, 100):
         got = mixing.mix(rows, F.col("n"), block=block).collect()
-        total, by = sum(1 + i % 7 for i in range(2000)), {}
+        total, by, seen = sum(1 + i % 7 for i in range(2000)), {}, False
         for g in got:
             by.setdefault(g.source, []).append(g)
         weights = {s: g[0].mix_weight for s, g in by.items()}
@@ -102,7 +102,14 @@ def test_mixing_meets_budget_and_order(spark):
                     assert x.mix_place >= at
                     at = x.mix_place + x.mix_tokens
             assert max(x.mix_pass for x in g) <= 4
+            # Places follow each other without a gap; whole passes hold every row once, each in its own order.
+            assert [x.mix_place for x in g] == list(np.cumsum([0, *(x.mix_tokens for x in g)])[:-1])
+            orders = [[x.doc_id for x in g if x.mix_pass == p] for p in range(max(x.mix_pass for x in g) + 1)]
+            assert all(sorted(o) == sorted(orders[0]) for o in orders[:-1]) and len(orders[0]) >= len(orders[-1])
+            assert all(a[:20] != b[:20] for a in orders for b in orders if a is not b)
+            seen |= len(orders) > 1
             assert len({(x.doc_id, x.mix_pass) for x in g}) == len(g)
+    assert seen
     p = np.array(list(weights.values()))
     assert -(p * np.log(p)).sum() >= 0.98 * np.log(3) - 1e-6 or max(x.mix_pass for x in got) >= 3
     assert mixing.mix(rows.limit(0), F.col("n")).count() == 0
