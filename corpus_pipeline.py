@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import Cuts, table
+from rasterloom.llm.common import Cuts, free, table
 from rasterloom.llm.credentials import masked, scan
 from rasterloom.llm.jaccard import link_documents
 from rasterloom.llm.mixing import mix, words
@@ -29,8 +29,9 @@ def _held(docs: DataFrame) -> DataFrame:
 def _drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose score is under 0.5. The model learns from labelled rows of docs."""
     model = fit_rows(docs, table(spark, sf_dir, "labels"))
-    rows = _held(docs).withColumn("text", F.col("r.text"))
-    return score_rows(rows, model).where("score < 0.5").select("r.*")
+    # The text passes once, in its own column: rows that wait for their score hold no copy of it.
+    score = free("score", docs.columns)
+    return score_rows(docs, model, score=score).where(F.col(score) < 0.5).drop(score)
 
 
 def _drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
