@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +88,40 @@ def lowest(rows: DataFrame, most: int, total: int | None = None) -> DataFrame:
     return rows
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(owner: str, key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks of one operator: another operator's goes first."""
+    if (owner, key) not in _kept:
+        _kept.clear()
+        _kept[owner, key] = make()
+    return _kept[owner, key]
+
+
+def give_back() -> None:
+    """Returns a worker's unused memory to the system; idle workers live on beside other operators' tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def clear_others(owner: str) -> None:
+    if any(o != owner for o, _ in _kept):
+        _kept.clear()
+
+
+def tidy(owner: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, without what other operators have kept, and giving memory back at the end."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        clear_others(owner)
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def lots(sizes: list[int], most: int) -> Iterator[slice]:
     """Slices of rows whose sizes sum to at most ``most``, in order; a row beyond that is a slice of its own."""
     a, size = 0, 0

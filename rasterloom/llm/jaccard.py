@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import Cuts, lots, parts, table, text_key
+from rasterloom.llm.common import Cuts, give_back, lots, parts, table, text_key, tidy
 from rasterloom.llm.components import components
 from rasterloom.llm.shingles import sets
 
@@ -167,6 +167,7 @@ def _regions(k: int, num: int, den: int):
                 r = links.root(i)
                 if r != i or count[i]:
                     out.append((keys[i], keys[r], count[i]))
+        give_back()
         return pd.DataFrame(out, columns=["a", "b", "links"]).astype("int64")
 
     return lambda f: join(f.sort_values(["region", "block"], kind="stable"))
@@ -186,7 +187,7 @@ def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k:
     kind = docs.schema[id_].dataType.simpleString()
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     rows = docs.select(docs[id_].alias("id"), *text_key(t), t.alias("t"))
-    seen = cut(rows.mapInPandas(lambda fs: _first(fs, k, often), f"id {kind}, k1 long, k2 long, k long, n long, h long, c long"))
+    seen = cut(rows.mapInPandas(tidy("jaccard", lambda fs: _first(fs, k, often)), f"id {kind}, k1 long, k2 long, k long, n long, h long, c long"))
     ids = seen.where("n >= 0").select("id", "k1", "k2", "k", "n")
     frequent = seen.where("n < 0").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(1 << 20).select("h").toPandas()["h"]
     frequent = spark.sparkContext.broadcast(np.sort(frequent.to_numpy(np.int64).view(np.uint64)))
@@ -198,7 +199,7 @@ def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k:
         for _, s in _lots(frames, k):
             yield pd.DataFrame({"k": [_key(x) for x in s], "n": [len(x) for x in s], "hs": [leading(x, frequent.value, num, den).view(np.int64) for x in s]})
 
-    listed = rows.select("t").mapInPandas(firsts, "k long, n long, hs array<long>").where("n > 0")
+    listed = rows.select("t").mapInPandas(tidy("jaccard", firsts), "k long, n long, hs array<long>").where("n > 0")
     listed = listed.select("k", "n", F.size("hs").alias("p"), F.explode("hs").alias("h"))
     listed, at_listed = cut.cut(listed)
     lists = cut(listed.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo != hi").select("h"))

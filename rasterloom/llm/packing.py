@@ -12,10 +12,9 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rasterloom.llm.common import Cuts, table
+from rasterloom.llm.common import Cuts, kept, table, tidy
 
 
 def fullest(lengths: list[int], count: dict[int, int], room: int) -> list[int]:
@@ -137,7 +136,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.t, self.end, self.most = Tokenizer.from_file(path), np.uint32(end).tobytes(), most
+        self.whole, self.end, self.most = lambda: Tokenizer.from_file(path), np.uint32(end).tobytes(), most
         # For parts that are split, in lower case and of Latin characters, so that normalisation changes nothing.
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = None
@@ -146,6 +145,11 @@ class Encoder:
         self.plain = re.compile("[\\t\\n\\r -~\u00a1-\u012f\u0131-\u024f]*").fullmatch
         self.parts: dict[str, bytes] = {}
 
+    @cached_property
+    def t(self):
+        """The tokenizer as it is, for words that are not split here; many corpora never need it."""
+        return self.whole()
+
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -162,7 +166,8 @@ class Encoder:
             else:
                 out.append(" " + w)
                 whole[" " + w] = b""
-        whole.update(zip(whole, self._ids(self.t, [w[1:] for w in whole]), strict=True))
+        if whole:
+            whole.update(zip(whole, self._ids(self.t, [w[1:] for w in whole]), strict=True))
         return out, whole
 
     def __call__(self, texts: list[str], lot: int = 1 << 21) -> Iterator[bytes]:
@@ -189,10 +194,7 @@ _CONTROL = re.compile("[\x1c-\x1f]").search
 
 def _encoder(path: str, end: int) -> Encoder:
     """The worker's encoder: Python workers serve several tasks, and what one has learned of words serves the next."""
-    kept = sys.modules.setdefault("rasterloom_worker", types.ModuleType("rasterloom_worker")).__dict__
-    if (path, end) not in kept:
-        kept[path, end] = Encoder(path, end)
-    return kept[path, end]
+    return kept("packing", (path, end), lambda: Encoder(path, end))
 
 
 def _pieces(path: str, end: int, size: int):
@@ -219,7 +221,7 @@ def pieces_of(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("r"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
-    got = rows.mapInPandas(_pieces(path, end, size), f"r {kind}, piece int, start long, length long, ids_crc32 long")
+    got = rows.mapInPandas(tidy("packing", _pieces(path, end, size)), f"r {kind}, piece int, start long, length long, ids_crc32 long")
     return got.withColumnRenamed("r", key)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 0x9FB21C651E98DF25
-_LOT = 1 << 20
+_LOT = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 BLANKS = (9, 10, 11, 12, 13, 32)
 

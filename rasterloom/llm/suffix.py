@@ -26,10 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import Cuts, parts, text_key
+from rasterloom.llm.common import Cuts, parts, text_key, tidy
 
 _BASE = 0x9E3779B97F4A7C15
-_BATCH = 1 << 22
+_BATCH = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -84,7 +84,7 @@ def _runs(data: np.ndarray, end: np.ndarray, threshold: int, gram: int) -> tuple
 
 
 def _pieces(texts: list[bytes], threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The texts' bytes in batches of about 4 MB: bytes, where each byte's text ends, and for the
+    """The texts' bytes in batches of about a quarter of a MB: bytes, where each byte's text ends, and for the
     parts in the batch the text's number, the part's start in the batch and in its text.
 
     A text longer than a batch comes in parts that overlap by threshold - 1 bytes.
@@ -106,7 +106,7 @@ def _pieces(texts: list[bytes], threshold: int) -> Iterator[tuple[np.ndarray, np
 def _run_rows(threshold: int, gram: int):
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            texts = [t.encode() for t in f["t"]]
+            texts = [t.encode() for t in f.pop("t")]
             k1, k2 = f["k1"].to_numpy(), f["k2"].to_numpy()
             for data, end, start, of in _pieces(texts, threshold):
                 first, n, anchor, a, s = _runs(data, end, threshold, gram)
@@ -209,7 +209,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", threshold: int = 200,
     cut = Cuts(spark)
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     keyed = docs.select(*text_key(t), t.alias("t")).where(F.octet_length("t") >= threshold)
-    runs, at_runs = cut.cut(keyed.mapInPandas(_run_rows(threshold, gram), "k1 long, k2 long, a long, s long, p long, n int, o int"))
+    runs, at_runs = cut.cut(keyed.mapInPandas(tidy("suffix", _run_rows(threshold, gram)), "k1 long, k2 long, a long, s long, p long, n int, o int"))
     shared = cut(runs.groupBy("a").agg(F.count("*").alias("c"), (F.min("s") != F.max("s")).alias("multi")).where("c > 1").select("a", "multi"))
     found = cut(runs.join(shared, "a"))
     cut.drop(at_runs)
@@ -220,7 +220,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", threshold: int = 200,
     want = want.groupBy("k1", "k2").agg(F.collect_list("w").alias("want"))
     # One copy of a text gives the bytes; a text with many copies is cut down before it meets them.
     one = keyed.join(want, ["k1", "k2"]).select("k1", "k2", "t", "want")
-    bytes_ = one.mapInPandas(_span_rows(threshold), "a long, s long, c long, o int, n int, span binary")
+    bytes_ = one.mapInPandas(tidy("suffix", _span_rows(threshold)), "a long, s long, c long, o int, n int, span binary")
     bytes_ = cut(bytes_.groupBy("a", "s").agg(*(F.first(x).alias(x) for x in ("c", "o", "n", "span"))))
     size = bytes_.groupBy("a").agg(F.count("*").alias("g"))
     n = bytes_.count()
@@ -230,7 +230,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", threshold: int = 200,
     hits = cold.withColumn("b", F.pmod(F.xxhash64("a"), F.lit(max(1, n // 20000, min(parts(spark), n // 500)))))
     hits = hits.groupBy("b").applyInPandas(lambda f: _bucket(threshold, digit)(f), "a long, s long, j long, m long")
     if some_hot:
-        windows = cut(bytes_.join(hot, "a", "left_semi").mapInPandas(_as_rows(threshold, digit), "a long, s long, c long, j long, key long"))
+        windows = cut(bytes_.join(hot, "a", "left_semi").mapInPandas(tidy("suffix", _as_rows(threshold, digit)), "a long, s long, c long, j long, key long"))
         again = windows.groupBy("a", "key").agg(F.sum("c").alias("all")).where(F.col("all") > 1).select("a", "key")
         hits = hits.unionByName(windows.join(again, ["a", "key"]).select("a", "s", "j", F.lit(1).cast("long").alias("m")))
     hits = cut(hits)
@@ -279,7 +279,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", threshold: int = 200, gr
     rows = docs.select(*(docs[c].alias(f"_{c}") for c in keep), *text_key(t), t.alias("t"))
     rows = rows.join(runs, ["k1", "k2"], "left").select(*(F.col(f"_{c}").alias(c) for c in keep), "t", "runs")
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInPandas(_remove(threshold), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept_text string")
+    return rows.mapInPandas(tidy("suffix", _remove(threshold)), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept_text string")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import table
+from rasterloom.llm.common import table, tidy
 
 _BITS = 18
 _BASE = 0xD6E8FEB86659FD93
@@ -351,8 +351,7 @@ def score_rows(docs: DataFrame, model: Model, text: str = "text", score: str = "
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(shared.value.scores(texts.tolist()))
+        yield from tidy("toxicity", lambda b: (pd.Series(shared.value.scores(texts.tolist())) for texts in b))(batches)
 
     return docs.withColumn(score, scored(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
