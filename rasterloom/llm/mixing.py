@@ -98,17 +98,19 @@ def mix(rows: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     a = exponent(per, entropy, most_passes, budget, steps=most_exponent_steps)
     z = per.agg(F.sum(F.exp(F.lit(a) * F.col("ln")))).first()[0]
     per = per.withColumn("weight", F.exp(F.lit(a) * F.col("ln")) / F.lit(z))
-    per = per.withColumn("goal", F.col("weight") * F.lit(budget * float(total)))
-    per = per.withColumn("whole", F.floor(F.col("goal") / F.col("tokens")))
+    # Budgets are whole tokens, so that a last bit of a weight decides nothing.
+    per = per.withColumn("goal", F.round(F.col("weight") * F.lit(budget * float(total))).cast("long"))
+    per = per.withColumn("whole", F.expr("goal div tokens"))
     per = per.withColumn("part", F.col("goal") - F.col("whole") * F.col("tokens")).withColumn("blocks", F.ceil(F.col("rows") / block))
     per = cut(per.select(F.col("s").alias("of"), "tokens", "weight", "whole", "part", "blocks"))
 
-    # Every pass is a permutation of its own: blocks by its hash of the row, then that hash, then key and size
-    # (rows equal in these are interchangeable). The last pass, number ``whole``, is cut at ``part`` tokens.
+    # Every pass is a permutation of its own, by a hash of the pass and the row, then key and size (rows equal
+    # in these are interchangeable); a block is a range of hashes. The last pass, number ``whole``, is cut at
+    # ``part`` tokens.
     passes = F.sequence(F.lit(0).cast("long"), F.col("whole") - F.when(F.col("part") > 0, 0).otherwise(1))
     x = x.join(per, F.col("s").eqNullSafe(F.col("of"))).drop("of").where((F.col("whole") > 0) | (F.col("part") > 0))
-    x = x.withColumn("pass", F.explode(passes)).withColumn("order", F.xxhash64(F.lit("mix"), F.col("pass"), F.col("k"), F.col("n")))
-    x = x.withColumn("b", F.pmod(F.shiftrightunsigned("order", 20), F.col("blocks")))
+    x = x.withColumn("pass", F.explode(passes)).withColumn("order", F.md5(F.concat_ws("|", F.lit("mix"), F.col("pass"), F.col("k"), F.col("n"))))
+    x = x.withColumn("b", F.shiftright(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * F.col("blocks"), 32))
     in_block = x.groupBy("s", "pass", "b").agg(F.sum("n").alias("sum"))
     before = in_block.withColumn("before", F.coalesce(F.sum("sum").over(W.partitionBy("s", "pass").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     # A block that begins behind the budget's end has no row in the mix.
@@ -123,4 +125,4 @@ def mix(rows: DataFrame, size: Column, source: str = "source", key: str = "doc_i
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", "source", words(F.col("text")).alias("n"))
-    return mix(rows, F.col("n")).select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_pass").alias("pass"), F.col("mix_place").alias("place"), F.col("mix_weight").alias("weight"))
+    return mix(rows, F.col("n")).select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_pass").alias("pass"), F.col("mix_place").alias("place"), F.round("mix_weight", 12).alias("weight"))

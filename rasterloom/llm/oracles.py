@@ -72,4 +72,38 @@ SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_
 FROM s LEFT JOIN sets ON sets.g = s.g LEFT JOIN c ON c.id = sets.id LEFT JOIN near ON near.id = sets.id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": _components(), "op8_secrets": _secrets()}
+def _repeats() -> str:
+    """Windows of 200 bytes as hashes of hexadecimal digits, cut from overlapping blocks of 512 starts."""
+    return """
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+block AS (SELECT row_id, b * 512 AS a, substr(h, b * 1024 + 1, 1024 + 398) AS x FROM (SELECT row_id, h, unnest(range(0, length(h) // 1024 + 1)) AS b FROM d WHERE length(h) >= 400)),
+win AS MATERIALIZED (SELECT row_id, a + i AS p, md5(substr(x, i * 2 + 1, 400)) AS w FROM (SELECT row_id, a, x, unnest(range(0, least(512, length(x) // 2 - 199))) AS i FROM block WHERE length(x) >= 400)),
+hit AS (SELECT row_id, p FROM (SELECT row_id, p, count(*) OVER (PARTITION BY w) AS c FROM win) WHERE c > 1),
+run AS (SELECT row_id, p, p - coalesce(lag(p) OVER (PARTITION BY row_id ORDER BY p), -1000000) > 200 AS first FROM hit),
+span AS (SELECT row_id, min(p) AS b, max(p) + 200 AS e FROM (SELECT row_id, p, sum(first::INT) OVER (PARTITION BY row_id ORDER BY p) AS k FROM run) GROUP BY row_id, k),
+gap AS (SELECT row_id, coalesce(lag(e) OVER (PARTITION BY row_id ORDER BY b), 0) AS f, b AS t FROM (SELECT row_id, b, e FROM span UNION ALL SELECT row_id, length(h) // 2, length(h) // 2 FROM d)),
+kept AS (SELECT row_id, string_agg(substr(h, f * 2 + 1, (t - f) * 2), '' ORDER BY f, t) AS x FROM gap JOIN d USING (row_id) GROUP BY row_id),
+n AS (SELECT row_id, count(*) AS n_spans, sum(e - b) AS n_removed FROM span GROUP BY row_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM d JOIN kept USING (row_id) LEFT JOIN n USING (row_id)"""
+
+
+def _mix(entropy: float = 0.98, most_passes: float = 4.0, grid: int = 1 << 20) -> str:
+    """The exponent by trying all points of the grid; places by one running sum over a whole pass."""
+    sums = "sum(exp(e * ln)) AS z, sum(exp(e * ln) * e * ln) AS s, max(exp((e - 1) * ln)) AS m"
+    return f"""
+WITH x AS MATERIALIZED (SELECT doc_id, source, greatest(1, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')))::BIGINT AS n FROM documents),
+total AS (SELECT sum(n) AS total FROM x),
+per AS MATERIALIZED (SELECT source, sum(n)::BIGINT AS tokens, ln(sum(n) / (SELECT total FROM total)::DOUBLE) AS ln FROM x GROUP BY source),
+points AS (SELECT e, {sums} FROM (SELECT unnest(range(0, {grid} + 1)) / {grid} AS e) CROSS JOIN per GROUP BY e),
+ends AS (SELECT coalesce(max(e) FILTER (ln(z) - s / z >= {entropy} * ln((SELECT count(*) FROM per)) - 1e-12), 0) AS by_entropy,
+  coalesce(max(e) FILTER (m / z > {most_passes}), 0) AS by_passes FROM points),
+a AS (SELECT greatest(by_entropy, CASE WHEN by_passes > 0 THEN least(1.0, by_passes + 1.0 / {grid}) ELSE 0 END) AS a FROM ends),
+w AS (SELECT source, tokens, exp(a * ln) / sum(exp(a * ln)) OVER () AS weight FROM per, a),
+goals AS (SELECT *, round(weight * (SELECT total FROM total))::BIGINT AS goal FROM w),
+p AS (SELECT x.*, g.weight, g.tokens, g.goal, unnest(range(0, g.goal // g.tokens + 1)) AS pass FROM x JOIN goals g ON x.source IS NOT DISTINCT FROM g.source),
+placed AS (SELECT *, pass * tokens + coalesce(sum(n) OVER (PARTITION BY source, pass ORDER BY md5(concat_ws('|', 'mix', pass, doc_id, n)), doc_id::VARCHAR, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM p)
+SELECT doc_id, source, n AS n_tokens, pass::INT AS pass, place::BIGINT AS place, round(weight, 12) AS weight FROM placed WHERE place < goal"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": _repeats(), "op4_jaccard_join": _components(), "op5_mixing": _mix(), "op8_secrets": _secrets()}
