@@ -1,14 +1,17 @@
 """Personal data by patterns and a character-level bidirectional LSTM with CRF transitions, in numpy.
 
-The patterns give the *base* spans, which always stay. They also label a bounded sample of documents, on
-which the network is trained: characters in, tags (outside; begin and inside of each kind) out, with learned
-transitions between tags. At inference windows of ``size`` characters, half a window apart, cover the text;
-each is decoded by Viterbi. Windows without a digit or an "@" are decoded as "outside": the decoder allows
-no other path there, as each kind of data holds one of these. Spans of all windows are then reconciled over
-the whole text: a span cut off at a window's inner edge gives way to a neighbouring window, where it lies
-whole; where none holds it, its parts that meet are decoded again in a window around them, twice as long each
-time until no inner edge cuts it. Base spans win over overlapping ones, and of the others the set of greatest total score that does
-not overlap is kept.
+The patterns give the *base* spans, which always stay. The network is for what they cannot see: addresses
+spelled out, masked or dotted card numbers, phone numbers without a country's sign, defanged IPs. It is trained
+on labelled spans of two kinds, in a bounded sample of documents: the base spans, and made ones of such forms,
+planted between the words beside decoys (dates, prices, versions, numbers that are no cards). Characters go
+in, tags (outside; begin and inside of each kind) come out, with learned transitions between tags.
+
+At inference overlapping windows cover every text whole. All of them are read by the network; a window whose
+scores leave no way but "outside" everywhere (by a bound on every path, so exactly) is not traced back. Spans
+are reconciled over the whole text: a span cut off at a window's inner edge gives way to a neighbouring
+window, where it lies whole; where none holds it, its parts that meet are decoded again in a window around
+them, twice as long each time until no inner edge cuts it. Base spans win over overlapping ones, and of the
+others that gain ``least`` in log odds or more the set of greatest total score that does not overlap is kept.
 
 Patterns are matched in time linear in the text.
 """
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import lowest, table
+from rasterloom.llm.common import lowest, table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -102,15 +105,20 @@ class Tagger:
         self.first = np.zeros((TAGS, 1), np.float32)
 
     def _read(self, ids: np.ndarray, d: str, out: np.ndarray, keep: bool) -> list:
-        x, u, h = self.p[f"x{d}"], self.p[f"u{d}"], self.h
+        x, u, h = np.ascontiguousarray(self.p[f"x{d}"].T), self.p[f"u{d}"], self.h
         s = c = np.zeros((h, ids.shape[1]), np.float32)
         notes = []
         for t in range(len(ids)) if d == "f" else range(len(ids) - 1, -1, -1):
-            g = u @ s
-            g += x[ids[t]].T
-            i, f, o = (_sigmoid(g[k * h : (k + 1) * h]) for k in range(3))
-            n = np.tanh(g[3 * h :])
-            new = f * c + i * n
+            g = np.take(x, ids[t], axis=1)
+            g += u @ s
+            gates, n = g[: 3 * h], g[3 * h :]
+            gates *= 0.5
+            np.tanh(g, out=g)
+            gates += 1
+            gates *= 0.5
+            i, f, o = gates[:h], gates[h : 2 * h], gates[2 * h :]
+            new = f * c
+            new += i * n
             tc = np.tanh(new)
             if keep:
                 notes.append((t, s, c, i, f, o, n, tc))
@@ -170,14 +178,33 @@ class Tagger:
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best paths (characters, windows), and each character's gain in log odds over staying outside."""
         em = self.emissions(ids)
+        path, gain = np.zeros(ids.shape, np.int8), np.zeros(ids.shape, np.float32)
+        # The most that a span of each kind can gain, by its best run of tags and the best ways in and back
+        # out; where that is under 0 for all of them, no path beats staying outside.
+        tr, out = self.p["t"] + self.ok, em[:, :1]
+        back = max(0.0, float(tr[1:, 0].max() - tr[0, 0]))
+        into = np.maximum(tr[:, 1::2].max(0) - tr[0, 0], self.p["s"][1::2, 0] - self.p["s"][0, 0])[:, None]
+        begin, on = em[:, 1::2] - out, em[:, 2::2] - out
+        begin += into
+        on += (tr[:, 2::2].max(0) - tr[0, 0])[:, None]
+        best = run = begin[0]
+        for b, i in zip(begin[1:], on[1:], strict=True):
+            run = np.maximum(b, run + i)
+            best = np.maximum(best, run)
+        some = np.flatnonzero((best + back > 0).any(0))
+        if len(some):
+            path[:, some], gain[:, some] = self._trace(np.ascontiguousarray(em[:, :, some]))
+        return path, gain
+
+    def _trace(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         tr = (self.p["t"] + self.ok)[:, :, None]
         best, back = em[0] + self.p["s"] + self.ok[0][:, None], np.empty(em.shape, np.int8)
         for t in range(1, len(em)):
             a = best[:, None] + tr
             back[t] = a.argmax(0)
             best = a.max(0) + em[t]
-        cols = np.arange(ids.shape[1])
-        path = np.empty(ids.shape, np.int8)
+        cols = np.arange(em.shape[2])
+        path = np.empty((len(em), em.shape[2]), np.int8)
         path[-1] = best.argmax(0)
         for t in range(len(em) - 1, 0, -1):
             path[t - 1] = back[t][path[t], cols]
@@ -199,17 +226,78 @@ def _tags(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], size: int = 64, steps: int = 260, batch: int = 48, seed: int = 5, most: int = 6000) -> Tagger:
-    """Trains on windows of the texts that hold a digit or an "@", labelled by the patterns."""
+def _digits(r: np.random.Generator, n: int) -> str:
+    return "".join(map(str, r.integers(0, 10, n)))
+
+
+def _card(r: np.random.Generator) -> str:
+    """Sixteen digits that pass the check."""
+    d = str(r.integers(2, 7)) + _digits(r, 14)
+    return next(d + str(k) for k in range(10) if _luhn(d + str(k)))
+
+
+def made(r: np.random.Generator, word: str) -> tuple[int, str]:
+    """(kind, text): personal data in a form that the patterns do not take; word: for names."""
+    pick = lambda *x: x[int(r.integers(len(x)))]
+    kind, name = int(r.integers(len(KINDS))), (word.lower() or "x") + pick("", "", f".{_digits(r, 2)}", _digits(r, 1), "_" + pick("a", "jr", "mail"))
+    if kind == 0:
+        host, tld = pick("mail", "example", "post", "web", word.lower() or "x") + pick("", _digits(r, 1)), pick("com", "org", "net", "de", "fr", "io", "info")
+        at, dot = pick((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" AT ", " DOT "), (" @ ", "."), (" @ ", " . "), ("[at]", "[.]"), ("@", "[.]"))
+        return kind, f"{name}{at}{host}{pick('', '', dot + 'example')}{dot}{tld}"
+    if kind == 1:
+        dot = pick("[.]", "(.)", " . ", "[dot]")
+        parts = [str(x) for x in r.integers(1, 256, 4)]
+        return kind, dot.join(parts) if r.random() < 0.7 else ".".join(parts[:3]) + dot.strip() + parts[3]
+    if kind == 2:
+        c, mark = _card(r), pick("x", "X", "*")
+        g = [c[i : i + 4] for i in range(0, 16, 4)]
+        return kind, pick(pick(".", "/", "_", "  ").join(g), pick("-", " ").join([g[0], mark * 4, mark * 4, g[3]]), pick("-", " ").join([mark * 4] * 3 + [g[3]]), g[0] + mark * 8 + g[3])
+    a, b, c = _digits(r, 3), _digits(r, 3), _digits(r, 4)
+    return kind, pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{pick('49', '33', '1')} {a} {b}{c}", f"0{a}/{b}{c}", f"0{a}-{b}{c}", f"({a}){b}-{c}")
+
+
+def decoy(r: np.random.Generator, word: str) -> str:
+    """Something like personal data that is none."""
+    pick = lambda *x: x[int(r.integers(len(x)))]
+    d = lambda n: _digits(r, n)
+    long = d(int(r.integers(13, 20)))
+    while _luhn(long):
+        long = d(len(long))
+    return pick(f"20{d(2)}-0{d(1)}-1{d(1)}", f"1{d(1)}.0{d(1)}.20{d(2)}", f"1{d(1)}:{d(2)}", f"1{d(1)}:{d(2)}:{d(2)}", f"${d(1)},{d(3)}.{d(2)}", f"{d(1)}.{d(5)}", f"v{d(1)}.{d(1)}.{d(1)}", f"{d(2)}-{d(2)}", f"{d(1)},{d(3)},{d(3)}", f"{d(3)} {d(3)} {d(3)}", f"{word} at {word}", f"dot {word}", f"#{d(5)}", f"id={d(6)}", long, long, f"token = \"{'%032x' % int(r.integers(1 << 62))}\"", f"@{word}", " ".join([word] * int(r.integers(10, 40))), f"**{word}**", f"({d(3)})", f"[{d(2)}]", "-" * 12, "x" * 8, f"{d(4)}")
+
+
+def planted(r: np.random.Generator, text: str, every: int = 40, most: int = 8) -> tuple[str, list[tuple[int, int, int]], list[int]]:
+    """The text with made spans and decoys between some of its words, the made spans' (kind, start, stop), and places in all that was planted."""
+    edges = [m.start() + 1 for m in re.finditer(" ", text)]
+    words = re.findall("[A-Za-z]{2,12}", text[:4000]) or ["name"]
+    at = sorted(r.choice(edges, min(most, -(-len(edges) // every)), replace=False).tolist()) if edges else [len(text)]
+    out, spans, starts, last, size = [], [], [], 0, 0
+    for p in at:
+        word = words[int(r.integers(len(words)))]
+        kind, x = made(r, word) if r.random() < 0.6 else (-1, decoy(r, word))
+        for part in (text[last:p], x, ("", ".", ",", ";")[int(r.integers(4))] + " "):
+            if part is x:
+                starts += range(size, size + len(x), 100)
+            if part is x and kind >= 0:
+                spans.append((kind, size, size + len(x)))
+            out.append(part)
+            size += len(part)
+        last = p
+    return "".join([*out, text[last:]]), spans, starts
+
+
+def fit(texts: list[str], size: int = 64, steps: int = 900, batch: int = 64, seed: int = 5, top: float = 0.04) -> Tagger:
+    """Trains on windows around base spans, made spans and decoys, and on one window anywhere in each text."""
     r, net = np.random.default_rng(seed), Tagger(seed=seed)
     ids, tags = [], []
     for t in texts:
-        hits = [m.start() for m in _TRIGGER.finditer(t)]
-        if not hits:
-            continue
-        s, g = symbols(t), _tags(len(t), base_spans(t))
+        t, more, starts = planted(r, t)
+        base = base_spans(t)
+        # A made span wins over a pattern that takes a part of it.
+        base = [s for s in base if not any(s[1] < b and a < s[2] for _, a, b in more)]
+        s, g = symbols(t), _tags(len(t), base + more)
         last = -size
-        for p in hits:
+        for p in sorted([a for _, a, _ in base] + starts + [m.start() for m in _TRIGGER.finditer(t)] + [int(r.integers(max(1, len(t))))]):
             if p - last < size // 2:
                 continue
             last, a = p, max(0, p - int(r.integers(4, size - 8)))
@@ -218,8 +306,6 @@ def fit(texts: list[str], size: int = 64, steps: int = 260, batch: int = 48, see
             if w[0] and w[0] % 2 == 0:
                 w[0] -= 1
             tags.append(w)
-        if len(ids) >= most:
-            break
     if not ids:
         net.p["b"][0] = 9
         return net
@@ -227,9 +313,9 @@ def fit(texts: list[str], size: int = 64, steps: int = 260, batch: int = 48, see
     with_, without = np.flatnonzero(tags.any(0)), np.flatnonzero(~tags.any(0))
     m, v = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in range(2))
     for t in range(1, steps + 1):
-        pick = [r.choice(x, min(len(x), batch * share // 4)) for x, share in ((with_, 3), (without, 1)) if len(x)]
+        pick = [r.choice(x, min(len(x), batch * share // 5)) for x, share in ((with_, 3), (without, 2)) if len(x)]
         k = np.concatenate(pick)
-        rate = 0.02 * (1 - 0.9 * t / steps)
+        rate = top * (1 - 0.95 * t / steps)
         for name, g in net.loss(ids[:, k], tags[:, k])[1].items():
             g = np.clip(g, -1, 1)
             m[name] = 0.9 * m[name] + 0.1 * g
@@ -238,12 +324,19 @@ def fit(texts: list[str], size: int = 64, steps: int = 260, batch: int = 48, see
     return net
 
 
-def fit_rows(docs: DataFrame, text: str = "text", most: int = 1500) -> Tagger:
-    """Fits on the ``most`` whole texts with a digit or an "@" that have the lowest hashes."""
+def fit_rows(docs: DataFrame, text: str = "text", most: int = 750, longest: int = 20000) -> Tagger:
+    """Fits on the ``most`` texts that have the lowest hashes, and as many with a digit or an "@".
+
+    Texts over ``longest`` characters are left out of this sample, so that it has a bound in bytes too; texts
+    in it are whole.
+    """
     t = F.col(text).cast("string")
-    rows = docs.select(t.alias("t")).where(t.rlike("[0-9@]")).select(F.xxhash64("t").alias("h"), F.char_length("t").alias("n"), "t")
-    rows = lowest(rows, most).dropDuplicates(["h", "n"]).orderBy("h", "n").limit(most)
-    return fit([r.t for r in rows.collect()])
+    rows = docs.select(t.alias("t")).where(F.char_length(t) <= longest).select(F.xxhash64("t").alias("h"), F.char_length("t").alias("n"), "t")
+    out = {}
+    for some in (rows, rows.where(F.col("t").rlike("[0-9@]"))):
+        for x in lowest(some, most).dropDuplicates(["h", "n"]).orderBy("h", "n").limit(most).collect():
+            out[x.h, x.n] = x.t
+    return fit([out[k] for k in sorted(out)])
 
 
 def reconcile(base: list[tuple[int, int, int]], found: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
@@ -290,9 +383,9 @@ def open_parts(cuts: list[tuple[int, int, int, int]], whole: list[tuple[int, int
     return [(a, b, n) for a, b, n in out]
 
 
-def tag_texts(net: Tagger, texts: list[str], size: int = 64, batch: int = 1024, least: float = 2.0) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text."""
-    step, todo = size // 2, []
+def tag_texts(net: Tagger, texts: list[str], size: int = 160, overlap: int = 32, batch: int = 512, least: float = 2.0) -> list[tuple[list, list]]:
+    """(base spans, all spans) of each text. Windows of ``size`` characters share ``overlap`` with the next one."""
+    step, todo = size - overlap, []
     found, whole, cuts = [[] for _ in texts], [[] for _ in texts], [[] for _ in texts]
 
     def run(length: int) -> None:
@@ -315,22 +408,15 @@ def tag_texts(net: Tagger, texts: list[str], size: int = 64, batch: int = 1024,
                     cuts[i].append((*span, length))
                     continue
                 whole[i].append(span)
-                t = texts[i][a + x : a + y]
                 # The log odds of this span against none, the way back outside included.
                 score = float(gain[x : y + 1, k].sum())
-                # Whole words only.
-                inside = texts[i][a + x - 1 : a + x].isalnum() or texts[i][a + y : a + y + 1].isalnum()
-                if score >= least and y - x >= 6 and not inside and _TRIGGER.search(t):
+                if score >= least:
                     found[i].append((score, *span))
         todo.clear()
 
     for i, text in enumerate(texts):
-        hits = {m.start() // step for m in _TRIGGER.finditer(text)} if text else ()
-        if not hits:
-            continue
         s = symbols(text)
-        for w in sorted({max(0, x) for h in hits for x in (h - 1, h)}):
-            a = w * step
+        for a in range(0, max(1, len(s) - overlap), step) if len(s) else ():
             todo.append((i, a, s[a : a + size], a + size >= len(s), None))
             if len(todo) == batch:
                 run(size)
@@ -376,7 +462,7 @@ def find(docs: DataFrame, net: Tagger, text: str = "text") -> DataFrame:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     span = "array<struct<kind: string, start: long, stop: long>>"
-    return out.mapInPandas(run, f"{kinds}, pii_base {span}, pii_spans {span}")
+    return out.mapInPandas(tidy("pii", run), f"{kinds}, pii_base {span}, pii_spans {span}")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
