@@ -30,3 +30,19 @@ def test_small_clusters_fill_all_ranks(spark):
         recall = hit / k / len(range(0, len(x), 20))
         print("recall", n, size, k, recall)
         assert recall >= least
+
+
+def test_repeated_rows_and_other_lengths_count(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(200, 6))
+    x[150:, 4:] = 0
+    rows = [(i, [float(v) for v in (e if i < 150 else e[:4])]) for i, e in enumerate(x)]
+    rows += [rows[k] for k in (7, 7, 7, 160, 20, 20)] + [(33, [float(v) for v in 5 * x[3]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for g in ann.nearest_rows(df, F.col("vec_id") % 20 == 0, k=8, per_list=20, probe=9.0, shard_rows=60, block=3).collect():
+        got.setdefault(g.query_id, {})[g.rank] = (g.vec_id, round(g.score, 9))
+    full = [(i, np.array([*v, 0.0, 0.0][:6])) for i, v in rows]
+    for q in range(0, 200, 20):
+        want = sorted(((i, round(float(x[q] @ v), 9)) for i, v in full if i != q), key=lambda s: (-s[1], s[0]))[:8]
+        assert [got[q][k] for k in range(1, 9)] == want
