@@ -93,7 +93,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Two LSTMs of ``hidden`` units, an emission layer and a CRF; windows are columns."""
 
-    def __init__(self, hidden: int = 10, seed: int = 5) -> None:
+    def __init__(self, hidden: int = 6, seed: int = 5) -> None:
         r, h = np.random.default_rng(seed), hidden
         self.h, p = h, {}
         for d in "fb":
@@ -179,19 +179,21 @@ class Tagger:
         """Best paths (characters, windows), and each character's gain in log odds over staying outside."""
         em = self.emissions(ids)
         path, gain = np.zeros(ids.shape, np.int8), np.zeros(ids.shape, np.float32)
-        # The most that a span of each kind can gain, by its best run of tags and the best ways in and back
-        # out; where that is under 0 for all of them, no path beats staying outside.
+        # A path differs from staying outside by its stretches of other tags, each with a gain of its own: the
+        # way in, its tags, the way out. The most that a stretch can gain whose last span is of a kind, by the
+        # best ways between tags; where that is nowhere over 0, no path beats staying outside.
         tr, out = self.p["t"] + self.ok, em[:, :1]
-        back = max(0.0, float(tr[1:, 0].max() - tr[0, 0]))
-        into = np.maximum(tr[:, 1::2].max(0) - tr[0, 0], self.p["s"][1::2, 0] - self.p["s"][0, 0])[:, None]
+        tr = tr - tr[0, 0]
         begin, on = em[:, 1::2] - out, em[:, 2::2] - out
-        begin += into
-        on += (tr[:, 2::2].max(0) - tr[0, 0])[:, None]
-        best = run = begin[0]
+        on += tr[:, 2::2].max(0)[:, None]
+        into, beside = tr[0, 1::2][:, None], tr[1:, 1::2].max(0)[:, None]
+        leave = np.maximum(tr[1::2, 0], tr[2::2, 0])[:, None]
+        run = begin[0] + (self.p["s"][1::2] - self.p["s"][0])
+        best = run + leave
         for b, i in zip(begin[1:], on[1:], strict=True):
-            run = np.maximum(b, run + i)
-            best = np.maximum(best, run)
-        some = np.flatnonzero((best + back > 0).any(0))
+            run = np.maximum(b + np.maximum(into, beside + run.max(0)), run + i)
+            best = np.maximum(best, run + leave)
+        some = np.flatnonzero((np.maximum(best, run) > 0).any(0))
         if len(some):
             path[:, some], gain[:, some] = self._trace(np.ascontiguousarray(em[:, :, some]))
         return path, gain
@@ -324,19 +326,16 @@ def fit(texts: list[str], size: int = 64, steps: int = 900, batch: int = 64, see
     return net
 
 
-def fit_rows(docs: DataFrame, text: str = "text", most: int = 750, longest: int = 20000) -> Tagger:
-    """Fits on the ``most`` texts that have the lowest hashes, and as many with a digit or an "@".
+def fit_rows(docs: DataFrame, text: str = "text", most: int = 1500, longest: int = 20000) -> Tagger:
+    """Fits on the ``most`` texts that have the lowest hashes.
 
     Texts over ``longest`` characters are left out of this sample, so that it has a bound in bytes too; texts
     in it are whole.
     """
     t = F.col(text).cast("string")
     rows = docs.select(t.alias("t")).where(F.char_length(t) <= longest).select(F.xxhash64("t").alias("h"), F.char_length("t").alias("n"), "t")
-    out = {}
-    for some in (rows, rows.where(F.col("t").rlike("[0-9@]"))):
-        for x in lowest(some, most).dropDuplicates(["h", "n"]).orderBy("h", "n").limit(most).collect():
-            out[x.h, x.n] = x.t
-    return fit([out[k] for k in sorted(out)])
+    rows = lowest(rows, most).dropDuplicates(["h", "n"]).orderBy("h", "n").limit(most)
+    return fit([r.t for r in rows.collect()])
 
 
 def reconcile(base: list[tuple[int, int, int]], found: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
@@ -383,12 +382,13 @@ def open_parts(cuts: list[tuple[int, int, int, int]], whole: list[tuple[int, int
     return [(a, b, n) for a, b, n in out]
 
 
-def tag_texts(net: Tagger, texts: list[str], size: int = 160, overlap: int = 32, batch: int = 512, least: float = 2.0) -> list[tuple[list, list]]:
+def tag_texts(net: Tagger, texts: list[str], size: int = 288, overlap: int = 32, batch: int = 512, least: float = 2.0) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text. Windows of ``size`` characters share ``overlap`` with the next one."""
-    step, todo = size - overlap, []
+    step, queue = size - overlap, {}
     found, whole, cuts = [[] for _ in texts], [[] for _ in texts], [[] for _ in texts]
 
     def run(length: int) -> None:
+        todo = queue.pop(length)
         ids = np.full((length, len(todo)), 130)
         for k, (_, _, s, _, _) in enumerate(todo):
             ids[: len(s), k] = s
@@ -412,16 +412,18 @@ def tag_texts(net: Tagger, texts: list[str], size: int = 160, overlap: int = 32,
                 score = float(gain[x : y + 1, k].sum())
                 if score >= least:
                     found[i].append((score, *span))
-        todo.clear()
 
+    # Windows wait with those of about their own length, so that few end in padding.
     for i, text in enumerate(texts):
         s = symbols(text)
         for a in range(0, max(1, len(s) - overlap), step) if len(s) else ():
-            todo.append((i, a, s[a : a + size], a + size >= len(s), None))
-            if len(todo) == batch:
-                run(size)
-    if todo:
-        run(size)
+            length = min(size, -(-(len(s) - a) // 32) * 32)
+            wait = queue.setdefault(length, [])
+            wait.append((i, a, s[a : a + size], a + size >= len(s), None))
+            if len(wait) == batch:
+                run(length)
+    for length in sorted(queue):
+        run(length)
     while any(cuts):
         wider: dict[int, list[tuple[int, int, int]]] = {}
         for i, c in enumerate(cuts):
@@ -433,10 +435,10 @@ def tag_texts(net: Tagger, texts: list[str], size: int = 160, overlap: int = 32,
         for length, some in sorted(wider.items()):
             for i, s, e in some:
                 a = max(0, min((s + e - length) // 2, len(texts[i]) - length))
-                todo.append((i, a, symbols(texts[i][a : a + length]), a + length >= len(texts[i]), (s, e)))
-                if len(todo) * length >= batch * size:
+                queue.setdefault(length, []).append((i, a, symbols(texts[i][a : a + length]), a + length >= len(texts[i]), (s, e)))
+                if len(queue[length]) * length >= batch * size:
                     run(length)
-            if todo:
+            if length in queue:
                 run(length)
     out = []
     for text, f in zip(texts, found, strict=True):
