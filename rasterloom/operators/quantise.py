@@ -61,16 +61,19 @@ def resolve(error: Error, kind: str, s: dict) -> Plan:
     """The grid of a product, from its scan; refuses where the bound can't be held."""
     k = BY_NAME[kind]
     values = k.integer or error.values
-    return {"LINEAR": _linear, "LOG": _log, "SQRT": _sqrt}[error.family](error, k, s, values)
+    plan = {"LINEAR": _linear, "LOG": _log, "SQRT": _sqrt}[error.family](error, k, s, values)
+    if not math.isfinite(plan.step) or not math.isfinite(plan.offset):
+        raise Refused("the grid has no finite step")
+    return plan
 
 
 def _linear(error: Error, k: Kind, s: dict, values: bool) -> Plan:
     if not s["max_abs"]:
         raise Refused("nothing but zeros")
     if k.integer:
-        step = max(1.0, math.floor(2 * error.bound))
+        step = max(1.0, math.floor(min(2 * error.bound, float(k.hi))))
     elif values:
-        step = math.floor(2 * error.bound)
+        step = math.floor(min(2 * error.bound, 2.0**1023))
         if step < 1 or math.ceil(s["max_abs"] / step) * step > min(k.exact, k.stream):
             raise Refused("whole steps do not fit")
     else:
@@ -109,6 +112,8 @@ def _sqrt(error: Error, k: Kind, s: dict, values: bool) -> Plan:
     if error.a is None:
         raise Refused("the curve is not known; fit it first")
     c, offset = error.bound * math.sqrt(error.b), error.a / error.b
+    if not math.isfinite(c) or not math.isfinite(offset):
+        raise Refused("the curve is out of range")
     most = max(abs(s["lo"]), abs(s["hi"]))
     if s["lo"] < -offset:
         raise Refused("samples below the curve's zero")
@@ -182,8 +187,10 @@ def decode(p: Plan, q: Column) -> Column:
         out = F.when(q == 0, F.lit(0.0)).otherwise(F.signum(q) * F.pow(F.lit(2.0), INDEX[p.kind][1] + (F.abs(q) - 1) * F.lit(p.step)))
         out = _clamp(floor0(out), k)
     else:
-        x = q * F.lit(p.step)
-        out = _clamp(floor0(x * x - F.lit(p.offset)), k)
+        # A narrow plan has charged its bound for single precision.
+        real = "float" if p.narrow else "double"
+        x = q.cast(real) * F.lit(p.step).cast(real)
+        out = _clamp(floor0((x * x - F.lit(p.offset).cast(real)).cast("double")), k)
     return out.cast("long") if k.integer else out.cast("float").cast("double") if p.kind == "f32" else out
 
 
@@ -275,8 +282,10 @@ def decode_array(p: Plan, q: np.ndarray) -> np.ndarray:
         elif p.family == "LOG":
             x = np.where(x == 0, 0.0, np.copysign(np.exp2(INDEX[p.kind][1] + (np.abs(x) - 1) * p.step), x))
         else:
-            u = x * p.step
-            x = u * u - p.offset
+            # A narrow plan has charged its bound for single precision.
+            real = np.float32 if p.narrow else np.float64
+            u = x.astype(real) * real(p.step)
+            x = (u * u - real(p.offset)).astype(np.float64)
         x = np.clip(np.maximum(x, 0.0) if floor0 else x, float(k.lo), float(k.hi))
     return half_bits(x).view(np.float16) if p.kind == "f16" else x.astype(NUMPY[p.kind])
 

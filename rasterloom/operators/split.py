@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,8 +112,10 @@ def float_round_trip(px: DataFrame, how: str, parameter: float) -> DataFrame:
 
 
 def mark(px: DataFrame, sentinel: float | None) -> DataFrame:
-    """Adds ``valid``: not the sentinel, or not NaN where there is none; infinities are values."""
+    """Adds ``valid``: not the sentinel's bits (0.0 is not -0.0), or not NaN where there is none; infinities are values."""
     hole = F.isnan("v") if sentinel is None else (F.col("v") == F.lit(sentinel))
+    if sentinel == 0 and px.schema["v"].dataType.typeName() in ("float", "double"):
+        hole &= (F.col("v").cast("string") == "-0.0") == F.lit(math.copysign(1.0, sentinel) < 0)
     return px.withColumn("valid", ~hole)
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.functions.recipes import METHODS, grid, parse_error
+from rasterloom.functions.recipes import grid, parse_error
 from rasterloom.operators import bins, noise, predict, quantise, split
 from rasterloom.plans import codecs, graph
 from rasterloom.sources import rasters
@@ -245,6 +246,37 @@ def nodata_wire_code(spark, d):
     return split.wire_code(_marked(spark, d), 8)
 
 
+@query(
+    f"WITH {HOLED} SELECT tile, count(*) AS n, CASE tile % 3 WHEN 0 THEN count(*) FILTER (v <> -9999e0) WHEN 1 THEN count(*) ELSE 0 END AS valid, "
+    "CASE tile % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS code, CASE tile % 3 WHEN 0 THEN 9 WHEN 1 THEN 1 ELSE 17 END AS header_bytes FROM holed GROUP BY tile"
+)
+def nodata_wire_codes(spark, d):
+    """Every third tile with some holes, every third with none, every third with holes alone."""
+    v = F.when(F.col("tile") % 3 == 1, F.lit(1.0)).when(F.col("tile") % 3 == 2, F.lit(-9999.0)).otherwise(F.col("v"))
+    return split.wire_code(split.mark(rasters.holed(spark, d).withColumn("v", v), -9999.0), 8)
+
+
+@query(f"WITH {HOLED} SELECT tile, y, x, v <> -9999e0 AS valid FROM holed")
+def nan_mask(spark, d):
+    """NaN as the hole: what is marked, and what a frame brings back as NaN."""
+    px = rasters.holed(spark, d).withColumn("v", F.when(F.col("v") == -9999.0, F.lit(float("nan"))).otherwise(F.col("v")))
+    tiles = rasters.to_tiles(px, "f64")
+    back = rasters.from_tiles(graph.decompress(graph.compress_product(tiles, "planar>zigzag>zstd", "f64", 50)), "f64")
+    return split.mark(back, None).select("tile", "y", "x", "valid")
+
+
+@query(f"WITH {U16}, a AS (SELECT tile, y, x, v & 255 AS v FROM u16), b AS (SELECT *, coalesce(lag(v) OVER (PARTITION BY tile, y ORDER BY x), 0) AS w, coalesce(lag(v) OVER (PARTITION BY tile, x ORDER BY y), 0) AS n FROM a), c AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY tile, y ORDER BY x), 0) AS nw FROM b) SELECT tile, y, x, (v - (w + n - nw)) & 255 AS r FROM c")
+def planar_encode_u8(spark, d):
+    return predict.encode(rasters.u16(spark, d).withColumn("v", F.col("v").bitwiseAND(F.lit(255).cast("long"))), "planar", 100, 1)
+
+
+@query(f"WITH {CENTS}, s AS (SELECT tile, y, x, v - 25000000 AS v FROM cents) SELECT tile, y, x, sign(v)::BIGINT * ((abs(v) + 5) - (abs(v) + 5) % 10) AS q FROM s")
+def linear_encode_signed(spark, d):
+    px = rasters.cents(spark, d).withColumn("v", F.col("v") - 25000000)
+    plan = quantise.plan_for(px, parse_error("LINEAR:MAX_ERROR=5"), "i32")
+    return px.select("tile", "y", "x", quantise.encode(plan, F.col("v")).alias("q"))
+
+
 LIN = "p AS (SELECT 2 * (0.5e0 - 2 * 1.1102230246251565e-16 * max(abs(v))) AS s FROM f64)"
 ERRORS = {
     "linear": "LINEAR:MAX_ERROR=0.5",
@@ -373,16 +405,46 @@ def noise_bins(spark, d):
     return noise.bins(_noise_blocks(spark, d)).select("bin", "c", F.round("mu", 4).alias("mu"), F.round("s2", 2).alias("s2"))
 
 
-@query()
+_NOISY = (
+    "z AS (SELECT o_orderkey * 10 + i AS k, (CAST(round(o_totalprice * 100) AS BIGINT) * (i + 1) * 7919) % 1000 / 1000e0 - 0.5e0 AS share FROM orders, range(0, 10) t(i)), "
+    "noisy AS (SELECT k // 150 AS y, k % 150 AS x, CAST(floor(s + sqrt(s + 100) * share * 3.4641016151377544e0) AS DOUBLE) AS v FROM (SELECT k, share, 500e0 + 20 * (k // 150 % 100) AS s FROM z))"
+)
+_CURVE = (
+    f"WITH {_NOISY}, {_BINS.replace('s AS (SELECT o_orderkey // 300 AS y, o_orderkey % 300 AS x, CAST(floor(o_totalprice) AS DOUBLE) AS v FROM orders)', 's AS (SELECT * FROM noisy)').replace('298 // 8', '148 // 8')}, "
+    "m AS (SELECT sum(c) AS w, sum(c * mu) AS x, sum(c * s2) AS y, sum(c * mu * mu) AS xx, sum(c * mu * s2) AS xy, count(*) AS bins, arg_min(mu, bin) AS first, arg_max(mu, bin) AS last FROM g), "
+    "sl AS (SELECT *, (w * xy - x * y) / (w * xx - x * x) AS b FROM m), ab AS (SELECT *, greatest(0, (y - b * x) / w) AS a FROM sl)"
+)
+
+
+@query(
+    f"{_CURVE} SELECT round(a, 3) AS a, round(b, 6) AS b, (SELECT count(*) FROM b) AS blocks, bins, round(last / first, 6) AS range, round(abs(x / w) / sqrt(xx / w - (x / w) * (x / w)), 6) AS colin, "
+    "round((SELECT sqrt(sum((s2 - a - b * mu) * (s2 - a - b * mu)) / sum(s2 * s2)) FROM g, ab), 6) AS resid FROM ab"
+)
 def noise_fit(spark, d):
-    return noise.fit(_noise_blocks(spark, d))
+    """The curve of a raster whose noise has variance 100 + signal (as rounding to whole samples leaves it)."""
+    r = noise.fit(noise.blocks(rasters.noisy(spark, d), 150))
+    return r.select(F.round("a", 3).alias("a"), F.round("b", 6).alias("b"), "blocks", "bins", F.round("range", 6).alias("range"), F.round("colin", 6).alias("colin"), F.round("resid", 6).alias("resid"))
+
+
+@query(
+    f"{_CURVE} SELECT 0 AS tile, y, x, CAST(floor(least(greatest((j * st) * (j * st) - o, 0e0), 65535e0) + 0.5e0) AS BIGINT) AS v FROM ("
+    "SELECT n.y, n.x, st, o, floor(0.5e0 + sqrt((n.v + o) * (1e0 / (st * st)) - 0.25e0)) AS j FROM noisy n, (SELECT 0.5e0 * sqrt(b) / 2 AS st, a / b AS o FROM ab))"
+)
+def frame_sqrt_fitted(spark, d):
+    """A product within half its own noise, which is fitted when the plan is cut."""
+    tiles = rasters.to_tiles(rasters.noisy(spark, d), "u16")
+    return rasters.from_tiles(graph.decompress(graph.compress_product(tiles, "planar>zigzag>transpose>zstd", "u16", 150, "SQRT:MAX_ERROR=0.5N")), "u16")
 
 
-def _grid_sql(size: int) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {size})" for m in METHODS if m in grid(size)) + ") t(method, size)"
+#: Predictors with what follows them, and terminals by sample size.
+_GRID = """WITH p(p) AS (VALUES ('id'), ('delta_1d'), ('delta_w>zigzag'), ('delta_n>zigzag'), ('planar>zigzag'), ('med>zigzag'), ('average>zigzag'), ('wp_static>zigzag')),
+t(t, size) AS (VALUES ('entropy', 1), ('field_lz', 1), ('zstd', 1), ('categorical', 1),
+  ('entropy', 2), ('field_lz', 2), ('zstd', 2), ('categorical', 2), ('transpose>entropy', 2), ('transpose>zstd', 2), ('store_lo', 2),
+  ('entropy', 8), ('field_lz', 8), ('zstd', 8), ('transpose>entropy', 8), ('transpose>zstd', 8), ('store_lo', 8))
+SELECT p || '>' || t AS method, size FROM p, t"""
 
 
-@query(f"{_grid_sql(1)} UNION ALL {_grid_sql(2)} UNION ALL {_grid_sql(8)}")
+@query(_GRID)
 def method_grid(spark, d):
     return spark.createDataFrame([(m, size) for size in (1, 2, 8) for m in grid(size)], "method string, size int")
 
@@ -401,7 +463,12 @@ def frame_heads(spark, d):
     return f.select("tile", "n", "width", F.col("elt").alias("size"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c.name}', {c.outputs}, {i > codecs.LOSSLESS_LAST})" for i, c in codecs.REGISTRY.items()) + ") t(codec, name, streams, lossy)")
+@query(
+    """SELECT * FROM (VALUES (7526145, 'delta_w', 1, false), (7526146, 'delta_n', 1, false), (7526147, 'planar', 1, false), (7526148, 'deinterleave', 2, false),
+(7526149, 'med', 1, false), (7526150, 'average', 1, false), (7526151, 'wp_static', 1, false), (7526152, 'binoffset', 2, false), (7526153, 'intmult', 2, false),
+(7526154, 'floatquant', 2, false), (7526155, 'floatmult', 2, false), (7526156, 'nodata', 2, false),
+(7526273, 'quant_linear', 1, true), (7526274, 'quant_log', 1, true), (7526275, 'quant_sqrt', 1, true)) t(codec, name, streams, lossy)"""
+)
 def codec_registry(spark, d):
     return spark.createDataFrame([(i, c.name, c.outputs, codecs.lossy(i)) for i, c in codecs.REGISTRY.items()], "codec int, name string, streams int, lossy boolean")
 
@@ -428,6 +495,57 @@ def frame_linear_holes(spark, d):
     return rasters.from_tiles(graph.decompress(graph.compress(tiles, g)), "f64").withColumn("v", F.round("v", 6))
 
 
+@query(f"WITH {U16}, t AS (SELECT tile, count(*) * 2 AS bytes FROM u16 GROUP BY tile) SELECT tile, bytes FROM t UNION ALL SELECT -1 - tile, bytes FROM t UNION ALL SELECT 1000000 + tile, 0 FROM t")
+def frame_sizes(spark, d):
+    """What frames open to; of frames cut short behind their heads (negative numbers), and of what is none."""
+    f = graph.compress(_tiles(spark, d), graph.Graph("planar>zigzag>zstd", 2, 100))
+    short = f.select((-1 - F.col("tile")).alias("tile"), F.expr("substring(frame, 1, length(frame) - 20)").alias("frame"))
+    none = f.select((F.col("tile") + 1000000).alias("tile"), F.expr("substring(frame, 3, 40)").alias("frame"))
+    return graph.frame_sizes(f.select("tile", "frame").unionByName(short).unionByName(none))
+
+
+@query(f"WITH {U16} SELECT tile, true AS refused, true AS opens FROM u16 GROUP BY tile")
+def frame_checksums(spark, d):
+    """A lossy frame with one stored bit turned over is refused, and opens where checksums are not asked for."""
+    f = graph.compress(_tiles(spark, d), graph.Graph("id>store_lo", 2, 100, plan=quantise.Plan("LINEAR", "u16", 10.0, 0.0, True, True)))
+
+    def run(frames):
+        for x in frames:
+            rows = []
+            for t, b in zip(x["tile"], x["frame"], strict=True):
+                at = graph.frame_head(b)["at"] + 3
+                b = b[:at] + bytes([b[at] ^ 1]) + b[at + 1 :]
+                try:
+                    refused = graph.decompress_tile(b) is None
+                except ValueError:
+                    refused = True
+                rows.append((t, refused, len(graph.decompress_tile(b, False)) > 0))
+            yield pd.DataFrame(rows, columns=["tile", "refused", "opens"])
+
+    return f.mapInPandas(run, "tile long, refused boolean, opens boolean")
+
+
+for _c, _p in {"intmult": {"base": 10}, "binoffset": {}, "planar": {"width": 100}, "med": {"width": 100}, "average": {"width": 100}, "deinterleave": {}, "nodata": {"hole": 7, "width": 100}}.items():
+    query(ORIGINAL, f"codec_{_c}")(lambda s, d, c=_c, p=_p: rasters.from_tiles(graph.decode_tiles(graph.encode_tiles(_tiles(s, d), c, **p), c), "u16"))
+
+
+@query(f"WITH {SKEW} SELECT tile, count(*) AS n, true AS lz_smaller, true AS constant_small FROM skew GROUP BY tile")
+def terminal_sizes(spark, d):
+    """Tiles of a rare class: matches take less room than order-0 codes; a constant tile takes under 64 bytes behind its head."""
+    skew = rasters.skewed(spark, d)
+    tiles = {k: rasters.to_tiles(px, "u16") for k, px in (("skew", skew), ("flat", skew.withColumn("v", F.lit(3).cast("long"))))}
+
+    def body(t, m, name):
+        def run(frames):
+            for x in frames:
+                yield pd.DataFrame({"tile": x["tile"], "n": [graph.frame_head(b)["n"] for b in x["frame"]], name: [len(b) - graph.frame_head(b)["at"] for b in x["frame"]]})
+
+        return graph.compress(tiles[t], graph.Graph(m, 2, 100)).mapInPandas(run, f"tile long, n long, {name} long")
+
+    lz, order0, flat = body("skew", "id>field_lz", "lz"), body("skew", "id>transpose>entropy", "e").drop("n"), body("flat", "id>categorical", "c").drop("n")
+    return lz.join(order0, "tile").join(flat, "tile").select("tile", "n", (F.col("lz") < F.col("e")).alias("lz_smaller"), (F.col("c") < 64).alias("constant_small"))
+
+
 BIN_LOG, BIN_META = 6, 30.0
 
 

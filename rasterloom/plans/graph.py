@@ -1,7 +1,7 @@
 """Whole graphs over tiles: compress, decompress and profile.
 
 A frame holds the magic ``RLF2``, its method, size, width and count, the ids and headers of its steps, and
-streams with a crc32 of the plain bytes (none where values were quantised). Steps are codecs of
+streams with a crc32 of the plain bytes (none where values were quantised) and one of the stored bytes. Steps are codecs of
 ``plans.codecs``: holes, quantiser, predictor, in this order. One row is one tile; tiles go through Arrow
 batches on their own, with a graph that the driver built once for the product.
 """
@@ -13,7 +13,7 @@ import struct
 import time
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 
 from rasterloom.functions.recipes import grid, parse_error, parse_method
 from rasterloom.functions.types import BY_NAME, KINDS, NUMPY, UNSIGNED
-from rasterloom.operators import quantise
+from rasterloom.operators import fieldlz, noise, quantise
 from rasterloom.plans import codecs
+from rasterloom.sources import rasters
 
 MAGIC = b"RLF2"
 
@@ -69,9 +70,15 @@ def graph_for(tiles: DataFrame, method: str, kind: str, width: int, error: str |
     """The graph of a whole product: one scan of all its tiles, before holes are filled, cuts one grid for all.
 
     Holes are the declared sentinel's samples, else NaNs where a float product has any. A lossless graph
-    of an integer product needs no scan.
+    of an integer product needs no scan. A SQRT recipe without its curve gets the one that the product's own
+    noise shows; ``quantise.Refused`` where it shows none.
     """
     recipe, k = parse_error(error), BY_NAME[kind]
+    if recipe and recipe.family == "SQRT" and recipe.a is None:
+        curve = noise.fit(noise.blocks(rasters.from_tiles(tiles, kind), width)).first()
+        if curve is None:
+            raise quantise.Refused("the product's noise shows no curve")
+        recipe = replace(recipe, a=curve.a, b=curve.b)
     hole = None if nodata is None else hole_pattern(kind, nodata)
     if not recipe and (k.integer or hole is not None):
         return Graph(method, k.size, width, hole)
@@ -120,6 +127,10 @@ def _terminal(v: np.ndarray, name: str) -> list[tuple[str, bytes]]:
         return [("huffman", _huffman(x)) for x in lanes]
     if name == "transpose>zstd":
         return [("zstd", _squeeze(x)) for x in lanes]
+    if name == "field_lz":
+        literals, rows = fieldlz.parse(v)
+        planes = [literals.view(np.uint8).reshape(-1, v.itemsize)[:, i].tobytes() for i in range(v.itemsize)]
+        return [*(("huffman", _huffman(x)) for x in planes), ("matches", _squeeze(rows.T.tobytes()))]
     if name == "store_lo":
         return [("raw", lanes[0]), *(("huffman", _huffman(x)) for x in lanes[1:])]
     return [("zstd", _squeeze(data))]
@@ -129,6 +140,11 @@ def _streams(parts: list[tuple[str, bytes]], n: int, dtype: np.dtype) -> np.ndar
     import zstandard
 
     out = []
+    if parts[-1][0] == "matches":
+        *planes, (_, rows) = parts
+        found = np.frombuffer(zstandard.ZstdDecompressor().decompress(rows), np.uint32).reshape(3, -1).T
+        planes = [np.frombuffer(zlib.decompress(b, -15), np.uint8) for _, b in planes]
+        return fieldlz.join(np.stack(planes, 1).reshape(-1).view(dtype), found, n)
     for coder, b in parts:
         if coder == "huffman":
             b = zlib.decompress(b, -15)
@@ -166,9 +182,26 @@ def compress_tile(g: Graph, data: bytes) -> bytes:
         elif predictor != "id":
             v = _zig(step(predictor, v, width=g.width)[0])
     parts = _terminal(np.ascontiguousarray(v), terminal) if len(v) else []
+    body = mask + b"".join(b for _, b in parts)
     head |= {"m": len(v), "steps": steps, "streams": [(c, len(b)) for c, b in parts], "mask": len(mask)}
-    h = json.dumps(head, separators=(",", ":")).encode()
-    return MAGIC + struct.pack("<I", len(h)) + h + mask + b"".join(b for _, b in parts)
+    # Over what is stored: the head as it is without this sum, and the body.
+    head["sum"] = zlib.crc32(body, zlib.crc32(_plain(head)))
+    h = _plain(head)
+    return MAGIC + struct.pack("<I", len(h)) + h + body
+
+
+def _plain(head: dict) -> bytes:
+    return json.dumps(head, separators=(",", ":")).encode()
+
+
+def frame_size(frame: bytes) -> int:
+    """Bytes that a frame opens to, from its head alone (the rest may be missing); 0 for what is no frame."""
+    try:
+        (n,) = struct.unpack("<I", frame[4:8])
+        head = json.loads(frame[8 : 8 + n])
+        return int(head["n"]) * int(head["size"]) if frame[:4] == MAGIC else 0
+    except (ValueError, KeyError, TypeError, struct.error):
+        return 0
 
 
 def frame_head(frame: bytes) -> dict:
@@ -185,7 +218,7 @@ def frame_head(frame: bytes) -> dict:
         raise ValueError("damaged frame head") from e
     if not fits:
         raise ValueError("damaged frame")
-    return head | {"at": 8 + n, "steps": steps}
+    return head | {"at": 8 + n, "steps": steps, "plain": head}
 
 
 def _open(frame: bytes, head: dict) -> bytes:
@@ -220,6 +253,10 @@ def decompress_tile(frame: bytes, verify: bool = True) -> bytes:
     import zstandard
 
     head = frame_head(frame)
+    if verify:
+        said = {k: v for k, v in head["plain"].items() if k != "sum"}
+        if zlib.crc32(frame[head["at"] :], zlib.crc32(_plain(said))) != head["plain"].get("sum"):
+            raise ValueError("checksum of the stored bytes does not match")
     try:
         data = _open(frame, head)
     except (zlib.error, zstandard.ZstdError, struct.error, KeyError, TypeError, IndexError, OverflowError) as e:
@@ -241,6 +278,50 @@ def compress(tiles: DataFrame, graph: Graph) -> DataFrame:
     return tiles.mapInPandas(run, "tile long, dtype int, frame binary")
 
 
+def compress_product(tiles: DataFrame, method: str, kind: str, width: int, error: str | None = None, nodata: float | None = None) -> DataFrame:
+    """``compress`` with the graph that ``graph_for`` cuts for these tiles."""
+    return compress(tiles, graph_for(tiles, method, kind, width, error, nodata))
+
+
+def frame_sizes(frames: DataFrame) -> DataFrame:
+    """(tile, bytes): what each frame opens to, 0 for what is no frame; only heads are read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            yield pd.DataFrame({"tile": f["tile"], "bytes": [frame_size(x) for x in f["frame"]]})
+
+    return frames.mapInPandas(run, "tile long, bytes long")
+
+
+def encode_tiles(tiles: DataFrame, name: str, **parameters) -> DataFrame:
+    """One codec over tiles: (tile, dtype, elt, width, n, header, first, second); second is null for codecs of one stream."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            got = [codecs.encode(name, np.frombuffer(d, UNSIGNED[e]), **parameters) for d, e in zip(f["data"], f["elt"], strict=True)]
+            f = f.drop(columns="data").assign(header=[h for h, _ in got])
+            for k, c in enumerate(("first", "second")):
+                f[c] = [np.ascontiguousarray(x[k]).tobytes() if k < len(x) else None for _, x in got]
+                f[f"{c}_elt"] = [x[k].itemsize if k < len(x) else None for _, x in got]
+            yield f
+
+    return tiles.mapInPandas(run, "tile long, dtype int, elt int, width long, n long, header binary, first binary, first_elt int, second binary, second_elt int")
+
+
+def decode_tiles(coded: DataFrame, name: str) -> DataFrame:
+    """Tiles again from ``encode_tiles``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            data = []
+            for header, *parts in zip(f["header"], f["first"], f["first_elt"], f["second"], f["second_elt"], strict=True):
+                streams = [np.frombuffer(b, UNSIGNED[int(e)]) for b, e in zip(parts[::2], parts[1::2], strict=True) if b is not None]
+                data.append(np.ascontiguousarray(codecs.decode(codecs.IDS[name], header, streams)).tobytes())
+            yield f[["tile", "dtype", "elt", "width", "n"]].assign(data=data)
+
+    return coded.mapInPandas(run, "tile long, dtype int, elt int, width long, n long, data binary")
+
+
 def frame_steps(frames: DataFrame) -> DataFrame:
     """(tile, place, codec, name, lossy, header): the steps that a frame's reader undoes, headers as hex."""
 
@@ -308,5 +389,11 @@ def profile(tiles: DataFrame, prior: str | None = "planar", reps: int = 1, hole:
     return tiles.mapInPandas(run, "tile long, graph string, bytes long, ratio double, encode_mbps double, decode_mbps double, shannon_pct double")
 
 
+def profile_product(tiles: DataFrame, kind: str, width: int, prior: str | None = "planar", reps: int = 1, error: str | None = None, nodata: float | None = None) -> DataFrame:
+    """``profile`` with the holes and the plan that ``graph_for`` cuts for these tiles."""
+    g = graph_for(tiles, "id>zstd", kind, width, error, nodata)
+    return profile(tiles, prior, reps, g.hole, g.plan)
+
+
 def dtype_name(code: int) -> str:
     return KINDS[code].name

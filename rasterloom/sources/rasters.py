@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.functions.types import BY_NAME, NUMPY
+from rasterloom.functions.types import BY_NAME, NUMPY, half_bits
 
 
 def pixels(df: DataFrame, key: str, value: Column, width: int, rows: int) -> DataFrame:
@@ -57,6 +58,15 @@ def holed(spark: SparkSession, d: str) -> DataFrame:
     return pixels(spark.read.parquet(f"{d}/events.parquet"), "event_id", v, 50, 20)
 
 
+def noisy(spark: SparkSession, d: str) -> DataFrame:
+    """A raster of width 150, ten pixels from each order: a ramp with noise of variance 100 + signal."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+    k = F.col("o_orderkey") * 10 + F.col("i")
+    signal = F.lit(500.0) + 20 * (F.floor(k / 150) % 100)
+    share = (F.col("c") * (F.col("i") + 1) * 7919) % 1000 / F.lit(1000.0) - F.lit(0.5)
+    return o.select(F.lit(0).cast("long").alias("tile"), F.floor(k / 150).alias("y"), (k % 150).alias("x"), F.floor(signal + F.sqrt(signal + 100) * share * F.lit(3.4641016151377544)).cast("long").alias("v"))
+
+
 def lanes(spark: SparkSession, d: str) -> DataFrame:
     """Two lanes (k, v) interleaved: prices at even places, customers at odd ones."""
     o = spark.read.parquet(f"{d}/orders.parquet")
@@ -64,13 +74,20 @@ def lanes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def to_tiles(px: DataFrame, dtype: str) -> DataFrame:
-    """One row per tile: (tile, dtype, elt, width, n, data), data little-endian and row-major."""
+    """One row per tile: (tile, dtype, elt, width, n, data), data little-endian and row-major.
+
+    A tile is a unit of work, held whole by one task. Its pixels have to be there once each, up to its last row,
+    which may be short; a tile with a missing or repeated one is refused.
+    """
     kind = BY_NAME[dtype]
 
     def pack(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["y", "x"], kind="stable")
-        data = f["v"].to_numpy().astype(np.dtype(NUMPY[dtype]).newbyteorder("<"))
         width = int(f["x"].max()) + 1
+        if (f["y"].to_numpy() * width + f["x"].to_numpy() != np.arange(len(f))).any():
+            raise ValueError(f"tile {f['tile'].iloc[0]} has a missing or repeated pixel")
+        v = f["v"].to_numpy()
+        data = half_bits(v) if dtype == "f16" else v.astype(np.dtype(NUMPY[dtype]).newbyteorder("<"))
         return pd.DataFrame({"tile": [f["tile"].iloc[0]], "dtype": [kind.code], "elt": [kind.size], "width": [width], "n": [len(f)], "data": [data.tobytes()]})
 
     return px.groupBy("tile").applyInPandas(pack, "tile long, dtype int, elt int, width long, n long, data binary")
@@ -80,11 +97,15 @@ def from_tiles(tiles: DataFrame, dtype: str) -> DataFrame:
     """The pixels of tiles; unsigned 64-bit values beyond a long are refused."""
     whole = BY_NAME[dtype].integer
 
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for t, w, data in zip(f["tile"], f["width"], f["data"], strict=True):
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # By Arrow: by way of pandas a NaN would come out as a null.
+        for b in batches:
+            for t, w, data in zip(*(b.column(c).to_pylist() for c in ("tile", "width", "data")), strict=True):
                 v = np.frombuffer(data, np.dtype(NUMPY[dtype]).newbyteorder("<"))
+                if dtype == "u64" and (v >> np.uint64(63)).any():
+                    raise ValueError(f"tile {t} has values beyond a long")
                 k = np.arange(len(v))
-                yield pd.DataFrame({"tile": t, "y": k // w, "x": k % w, "v": v.astype(np.int64 if whole else np.float64)})
+                columns = [np.full(len(v), t), k // w, k % w, v.astype(np.int64 if whole else np.float64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tile", "y", "x", "v"])
 
-    return tiles.mapInPandas(unpack, f"tile long, y long, x long, v {'long' if whole else 'double'}")
+    return tiles.select("tile", "width", "data").mapInArrow(unpack, f"tile long, y long, x long, v {'long' if whole else 'double'}")
