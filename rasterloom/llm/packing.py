@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import cached_property
@@ -119,8 +120,13 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     return ranked.mapInPandas(_place(at), f"{kinds}, sequence_id long, offset long")
 
 
-#: How the tokenizer's file splits lower-cased text before merging.
-_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+def _of(category: str) -> str:
+    """The characters of a Unicode category among those that ``Encoder.plain`` takes, for a pattern's class."""
+    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == category)
+
+
+#: How the tokenizer's file splits lower-cased text before merging: letters, single digits, other runs.
+_PARTS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_of('L')}]+|[{_of('N')}]|[^\s{_of('L')}{_of('N')}]+"
 
 
 class Encoder:
@@ -132,7 +138,6 @@ class Encoder:
     """
 
     def __init__(self, path: str, end: int, most: int = 1_000_000) -> None:
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -141,7 +146,7 @@ class Encoder:
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = None
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.split = regex.compile(_PARTS).findall
+        self.split = re.compile(_PARTS).findall
         self.plain = re.compile("[\\t\\n\\r -~\u00a1-\u012f\u0131-\u024f]*").fullmatch
         self.parts: dict[str, bytes] = {}
 
