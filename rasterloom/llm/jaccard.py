@@ -46,23 +46,29 @@ def _key(s: np.ndarray) -> int:
 _LOT = 1 << 23
 
 
-def _lots(frames: Iterator[pd.DataFrame], k: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    """The rows in lots bounded by their texts' length, and their texts' sets."""
-    for f in frames:
-        for at in lots(f["t"].str.len().tolist(), _LOT):
-            g = f.iloc[at].reset_index(drop=True)
-            yield g, sets(list(g["t"]), k)
+def _lots(frame: pd.DataFrame, k: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """A batch's rows in lots bounded by their texts' length, and their texts' sets."""
+    for at in lots(frame["t"].str.len().tolist(), _LOT):
+        g = frame.iloc[at].reset_index(drop=True)
+        yield g, sets(list(g["t"]), k)
 
 
 def _first(frames: Iterator[pd.DataFrame], k: int, often: int) -> Iterator[pd.DataFrame]:
     """A row for each text with its key and size; and rows with shingles seen ``often`` in a batch."""
-    for f, s in _lots(frames, k):
-        out = f[["id", "k1", "k2"]].copy()
-        out["k"], out["n"] = np.array([_key(x) for x in s], np.int64), np.array([len(x) for x in s], np.int64)
-        out["h"], out["c"] = 0, 0
-        yield out
-        h, c = np.unique(np.concatenate(s), return_counts=True) if s else (np.zeros(0, np.uint64), np.zeros(0, int))
-        h, c = h[c >= often], c[c >= often]
+    for f in frames:
+        seen = [np.zeros(0, np.uint64)]
+        for g, s in _lots(f, k):
+            out = g[["id", "k1", "k2"]].copy()
+            out["k"], out["n"] = np.array([_key(x) for x in s], np.int64), np.array([len(x) for x in s], np.int64)
+            out["h"], out["c"] = 0, 0
+            yield out
+            seen.append(np.concatenate(s))
+        all_ = np.concatenate(seen)
+        del seen
+        all_.sort()
+        edge = np.flatnonzero(np.concatenate([[True], all_[1:] != all_[:-1]])) if len(all_) else np.zeros(0, int)
+        c = np.diff(np.append(edge, len(all_)))
+        h, c = all_[edge[c >= often]], c[c >= often]
         yield pd.DataFrame({"id": pd.Series([None] * len(h), dtype=object), "k1": 0, "k2": 0, "k": 0, "n": -1, "h": h.view(np.int64), "c": c})
 
 
@@ -196,7 +202,7 @@ def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k:
     one = cut(one.select("k", "n", "copies", F.col("r.id").alias("id"), F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2")))
 
     def firsts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, s in _lots(frames, k):
+        for _, s in (x for f in frames for x in _lots(f, k)):
             yield pd.DataFrame({"k": [_key(x) for x in s], "n": [len(x) for x in s], "hs": [leading(x, frequent.value, num, den).view(np.int64) for x in s]})
 
     listed = rows.select("t").mapInPandas(tidy("jaccard", firsts), "k long, n long, hs array<long>").where("n > 0")
