@@ -16,6 +16,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import cached_property
+from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
@@ -188,9 +189,10 @@ class Encoder:
                 self.parts.update(whole)
             new = list(set().union(*(parts for parts, _ in lists)).difference(self.parts))
             self.parts.update(zip(new, self._ids(self.merges, new), strict=True))
-            get = self.parts.__getitem__
             for parts, _ in lists:
-                yield b"".join(map(get, parts)) + self.end
+                # One call looks up all parts; of a single one it would give no tuple.
+                got = itemgetter(*parts)(self.parts) if len(parts) > 1 else [self.parts[x] for x in parts]
+                yield b"".join(got) + self.end
             a = b
 
 
