@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import Cuts
 
 
-def components(edges: DataFrame, cut: Cuts, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, cut: Cuts) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a, b): root is the smallest node of its component.
 
     Every round each node takes the smallest root among its neighbours' and its own, and then that
-    root's root; rounds end when no root changes. Each round is cut, and the one before it deleted.
+    root's root; rounds end when no root changes, as they must: roots only fall, and a round in which none does
+    is the last. Each round is cut, and the one before it deleted.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
     roots, path = cut.cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    for _ in range(most_rounds):
+    while True:
         seen = both.join(roots, both.b == roots.node).groupBy("a").agg(F.min("root").alias("r"))
         near = roots.join(seen, roots.node == seen.a).select("node", "root", F.least("root", "r").alias("r"))
         up = roots.select(F.col("node").alias("r"), F.col("root").alias("rr"))
@@ -26,4 +27,3 @@ def components(edges: DataFrame, cut: Cuts, most_rounds: int = 60) -> DataFrame:
         roots, path = new.drop("old"), new_path
         if not changed:
             return roots
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
