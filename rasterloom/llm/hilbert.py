@@ -5,10 +5,11 @@ each other), or by a hash for text values, the cells are numbered along the curv
 bytes are cut from that order: files of a shard span small ranges of every dimension.
 
 Rows of one group (equal texts) count as one place, that of their least coordinates, and follow each other;
-a cut moves to the edge of a group where that is within ``slack`` of a shard's size. Running sums are taken without a global window: groups of equal texts are
-added up first, then the groups in sub-cells (a cell and some bits of the text's hash), then sub-cells, of
-which there is a fixed number; rows within a group have one size, so their places need only counts, dealt
-by a hash of the id into parts whose number grows with the table, so that no group is one task's.
+a cut moves to the edge of a group where that is within ``slack`` of a shard's size. Running sums are taken
+without a window over the table: groups of equal texts are added up first, then the groups in sub-cells (a cell
+and some bits of the text's hash, more of them where the table is larger), then sub-cells in their cell, then
+cells, of which there is a fixed number; rows within a group have one size, so their places need only counts,
+dealt by a hash of the id into parts whose number grows with the table as well, so that no group is one task's.
 """
 
 from __future__ import annotations
@@ -69,8 +70,8 @@ def shard(rows: DataFrame, dimensions: list[str], size: Column, group: list[Colu
     """The columns of rows, with shard, slot (gapless from 0 in each shard), bytes and cell (the curve's index).
 
     ``size`` must follow from ``group``. Shards' sums of size are equal to within a row, or ``slack`` of
-    a shard where a cut moved to the edge of a group. A group is ranked in parts that hold at most about
-    ``deal`` rows. Nulls are values. Columns so named are replaced.
+    a shard where a cut moved to the edge of a group. A group is ranked in parts, and a cell's groups are added
+    up in sub-cells, that hold at most about ``deal`` rows. Nulls are values. Columns so named are replaced.
     """
     spark = rows.sparkSession
     cut = Cuts(spark)
@@ -79,7 +80,8 @@ def shard(rows: DataFrame, dimensions: list[str], size: Column, group: list[Colu
     at = [quantised(rows, d, bits) for d in dimensions]
     x = rows.select(F.struct(*names).alias("r"), *(a.alias(f"d{i}") for i, a in enumerate(at)), F.xxhash64(*group).alias("g"), size.cast("long").alias("bytes"), F.xxhash64(tie).alias("tie"))
     x = cut(x)
-    x = x.withColumn("deal", F.pmod("tie", F.lit(max(16, x.count() // deal))))
+    n = x.count()
+    x = x.withColumn("deal", F.pmod("tie", F.lit(max(16, n // deal))))
     d = [f"d{i}" for i in range(len(at))]
     run = lambda part, *by: W.partitionBy(*part).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -87,10 +89,14 @@ def shard(rows: DataFrame, dimensions: list[str], size: Column, group: list[Colu
     dealt = x.groupBy("g", "bytes", "deal").agg(F.count("*").alias("c"), *(F.min(c).alias(c) for c in d))
     dealt = cut(dealt.withColumn("r0", zero(F.sum("c").over(run(["g", "bytes"], "deal")))))
     groups = dealt.groupBy("g", "bytes").agg(F.sum("c").alias("c"), *(F.min(c).alias(c) for c in d))
-    groups = cut(groups.select("g", "bytes", "c", curve([F.col(c) for c in d], bits).alias("cell"), F.pmod("g", F.lit(8)).alias("sub")))
+    groups = cut(groups.select("g", "bytes", "c", curve([F.col(c) for c in d], bits).alias("cell"), F.pmod("g", F.lit(max(8, n // deal))).alias("sub")))
     subs = groups.groupBy("cell", "sub").agg(F.sum(F.col("c") * F.col("bytes")).alias("b"), F.sum("c").alias("c"))
-    # A row for each cell and 8 hash values, whatever the input: at most 2^(bits * dimensions) * 8.
-    subs = subs.withColumn("b0", zero(F.sum("b").over(run([], "cell", "sub")))).withColumn("n0", zero(F.sum("c").over(run([], "cell", "sub")))).select("cell", "sub", "b0", "n0")
+    # Sub-cells run in their cell; of cells there are 2^(bits * dimensions) at most, whatever the input.
+    in_cell = run(["cell"], "sub")
+    subs = subs.withColumn("b0", zero(F.sum("b").over(in_cell))).withColumn("n0", zero(F.sum("c").over(in_cell)))
+    cells = subs.groupBy("cell").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
+    cells = cells.select("cell", zero(F.sum("b").over(run([], "cell"))).alias("b1"), zero(F.sum("c").over(run([], "cell"))).alias("n1"))
+    subs = subs.join(F.broadcast(cells), "cell").select("cell", "sub", (F.col("b0") + F.col("b1")).alias("b0"), (F.col("n0") + F.col("n1")).alias("n0"))
     subs = cut(subs)
     total = groups.agg(F.sum(F.col("c") * F.col("bytes"))).first()[0] or 0
     goal = max(total / shards, 1e-9)
