@@ -1,9 +1,8 @@
 """A corpus pipeline over ``documents``: toxicity, near duplicates, secrets, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's
-docs. All but the last return the columns of docs. No stage can be said in SQL (a trained network, a trained
-tokenizer's ids), so ORACLE_SQL is None. tests/llm go through the stages and assert
-some properties of each; no test holds run() against a plain version yet.
+docs. All but the last return the columns of docs. run() can't be said in SQL (a trained network, a trained
+tokenizer's ids), so ORACLE_SQL is None; tests/llm hold run() against a plain version of all stages.
 """
 
 from __future__ import annotations
