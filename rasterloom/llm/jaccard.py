@@ -11,10 +11,12 @@ taken where sets can be near at all:
 * **Windows.** A set is replicated into a larger region (by members, then name) than its own if it shares
   a list with a member and the number of lists shared can reach the similarity for sizes found there. Any
   partner of a member in a smaller region does, so each pair of sets meets in one region.
-* **Joins.** A region is joined exactly inside a task: distances to its pivot come first, the triangle
-  inequality leaves for each member a window of |d(x,p) - d(y,p)| <= 1 - s, and an inverted index counts
-  the overlaps in it. A region over ``most`` sets is dealt into blocks, joined with each other, so that no
-  region has to fit in a task.
+* **Joins.** A region is joined exactly inside a task, recursively: pivots far from each other cut it into Voronoi
+  regions by distance, the triangle inequality says which sets of other regions a region needs as well
+  (d(y,p) <= d(y,q) + 2(1 - s) for its pivot p and all q), and so on down to ``leaf`` sets, or where a cut
+  leaves over half of the pairs. There distances to one pivot leave for each member a window of |d(x,p) - d(y,p)| <= 1 - s,
+  and an inverted index counts the overlaps in it. A region over ``most`` sets is dealt into blocks, joined
+  with each other, so that no region has to fit in a task.
 
 Equal sets are one from the start. A region tells only a spanning set of links, and each member's number
 of links; components follow by pointer jumping. The frequent shingles (seen often in one batch; the
@@ -23,7 +25,7 @@ million most frequent are sent to the executors) only make lists short: any orde
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -104,16 +106,9 @@ class Links:
         self.up[max(i, j)] = min(i, j)
 
 
-def join_region(s: list[np.ndarray], member: np.ndarray, copies: np.ndarray, num: int, den: int, other: np.ndarray | None = None, guest: np.ndarray | None = None) -> tuple[Links, np.ndarray]:
-    """Links among the sets, and the rows that each one links to (copies count each), as far as seen here.
-
-    member: sets whose partners are wanted; other: which sets are looked at as partners (all); guest: sets
-    of other regions (those that are no members), which have their links told here and nowhere else.
-    """
-    guest = ~member if guest is None else guest
-    m = len(s)
-    n = np.array([len(x) for x in s])
-    links, count = Links(m), np.zeros(m, np.int64)
+def overlaps(s: list[np.ndarray]) -> Callable[[int], np.ndarray]:
+    """A function that counts, by an inverted index, the shingles that each set shares with the set at a place."""
+    m, n = len(s), np.array([len(x) for x in s])
     flat, doc = np.concatenate(s), np.repeat(np.arange(m), n)
     order = np.argsort(flat, kind="stable")
     flat, doc = flat[order], doc[order]
@@ -136,28 +131,81 @@ def join_region(s: list[np.ndarray], member: np.ndarray, copies: np.ndarray, num
         got[i] = n[i]
         return got
 
-    members = np.flatnonzero(member)
-    # Distances to the pivot, the smallest member; only sets within 1 - s of a member's distance are tried.
-    pivot = int(members[np.argmin(n[members])])
-    o = overlap(pivot)
-    d = 1 - o / (n + n[pivot] - o)
+    return overlap
+
+
+def voronoi(n: np.ndarray, overlap: Callable[[int], np.ndarray], member: np.ndarray, other: np.ndarray, num: int, den: int, pivots: int = 8) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(members, others) of the regions of pivots that lie far from each other: members by the nearest pivot, others
+    wherever a partner of a member can lie.
+
+    With r = 1 - s, a partner y of a member x of p's region has d(y,p) <= d(x,p) + r <= d(x,q) + r <= d(y,q) + 2r for
+    every pivot q, d(y,p) within r of the distances that members have, and a size that s allows beside theirs.
+    """
+    r, d = 1 - num / den + 1e-9, []
+    i = int(np.argmin(n))
+    while len(d) < pivots:
+        o = overlap(i)
+        d.append(1 - o / (n + n[i] - o))
+        least = np.min(d, axis=0)
+        i = int(np.argmax(least))
+        if least[i] <= r:
+            break
+    d = np.array(d)
+    nearest, least, out = d.argmin(0), d.min(0), []
+    for p in range(len(d)):
+        own = np.flatnonzero(member & (nearest == p))
+        if len(own):
+            low, high = d[p, own].min() - r, d[p, own].max() + r
+            near = other & (d[p] <= least + 2 * r) & (d[p] >= low) & (d[p] <= high)
+            near &= (n * den >= num * n[own].min()) & (n * num <= den * n[own].max())
+            out.append((own, np.flatnonzero(near)))
+    return out
+
+
+def join_region(s: list[np.ndarray], member: np.ndarray, copies: np.ndarray, num: int, den: int, other: np.ndarray | None = None, guest: np.ndarray | None = None, leaf: int = 256) -> tuple[Links, np.ndarray]:
+    """Links among the sets, and the rows that each one links to (copies count each), as far as seen here.
+
+    member: sets whose partners are wanted; other: which sets are looked at as partners (all); guest: sets
+    of other regions (those that are no members), which have their links told here and nowhere else. A region
+    of over ``leaf`` sets is cut into regions of its own, where these hold half as many pairs to look at or
+    fewer, and at most twice the sets.
+    """
+    guest = ~member if guest is None else guest
+    other = np.ones(len(s), bool) if other is None else other
+    n = np.array([len(x) for x in s])
+    links, count = Links(len(s)), np.zeros(len(s), np.int64)
     reach = 1 - num / den + 1e-9
-    for i in members:
-        window = (np.abs(d - d[i]) <= reach) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
-        window[i] = False
-        if other is not None:
-            window &= other
-        if window.any():
-            o = overlap(i)
-            hit = np.flatnonzero(window & (den * o >= num * (n + n[i] - o)))
-            count[i] += copies[hit].sum()
-            count[hit[guest[hit]]] += copies[i]
-            for j in hit:
-                links.link(i, j)
+    todo = [np.arange(len(s))], [member], [other]
+    while todo[0]:
+        at, member, other = (x.pop() for x in todo)
+        overlap, size, rows, away = overlaps([s[i] for i in at]), n[at], copies[at], guest[at]
+        if len(at) > leaf:
+            parts_ = [(np.union1d(own, near), own, near) for own, near in voronoi(size, overlap, member, other, num, den)]
+            pairs, held = sum(len(own) * len(near) for _, own, near in parts_), sum(len(x) for x, _, _ in parts_)
+            if 2 * pairs <= member.sum() * other.sum() and held <= 2 * len(at) and max(len(x) for x, _, _ in parts_) < len(at):
+                for x, own, near in parts_:
+                    for stack, value in zip(todo, (at[x], np.isin(x, own), np.isin(x, near)), strict=True):
+                        stack.append(value)
+                continue
+        members = np.flatnonzero(member)
+        # Distances to the pivot, the smallest member; only sets within 1 - s of a member's distance are tried.
+        pivot = int(members[np.argmin(size[members])])
+        o = overlap(pivot)
+        d = 1 - o / (size + size[pivot] - o)
+        for i in members:
+            window = other & (np.abs(d - d[i]) <= reach) & (den * np.minimum(size, size[i]) >= num * np.maximum(size, size[i]))
+            window[i] = False
+            if window.any():
+                o = overlap(i)
+                hit = np.flatnonzero(window & (den * o >= num * (size + size[i] - o)))
+                count[at[i]] += rows[hit].sum()
+                count[at[hit[away[hit]]]] += rows[i]
+                for j in hit:
+                    links.link(at[i], at[j])
     return links, count
 
 
-def _regions(k: int, num: int, den: int):
+def _regions(k: int, num: int, den: int, leaf: int):
     def join(f: pd.DataFrame) -> pd.DataFrame:
         out = []
         f = f.drop_duplicates(["region", "block", "k", "n"]).reset_index(drop=True)
@@ -167,7 +215,7 @@ def _regions(k: int, num: int, den: int):
             if len(g) < 2 or not member.any():
                 continue
             s = sets(list(g["t"]), k)
-            links, count = join_region(s, member, g["copies"].to_numpy(), num, den, g["other"].to_numpy(), g["guest"].to_numpy())
+            links, count = join_region(s, member, g["copies"].to_numpy(), num, den, g["other"].to_numpy(), g["guest"].to_numpy(), leaf)
             keys = g["k"].to_numpy()
             for i in range(len(g)):
                 r = links.root(i)
@@ -179,7 +227,7 @@ def _regions(k: int, num: int, den: int):
     return lambda f: join(f.sort_values(["region", "block"], kind="stable"))
 
 
-def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k: int = 5, num: int = 75, den: int = 100, near: float = 0.1, rounds: int = 2, often: int = 3, most: int = 4000) -> DataFrame:
+def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k: int = 5, num: int = 75, den: int = 100, near: float = 0.1, rounds: int = 2, often: int = 3, most: int = 4000, leaf: int = 256) -> DataFrame:
     """Per row of docs: ``id_``, n_shingles, component_id (the smallest id reachable by links) and n_links.
 
     Texts link when den * intersection >= num * union of their sets of k-word shingles. Words are lower-cased
@@ -261,7 +309,7 @@ def link_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", k:
     texts = texts.select("k", "n", "copies", "t", F.explode("to").alias("to")).select("k", "n", "copies", "t", "to.*")
     buckets = max(1, n_deal // 1000, min(parts(spark), n_deal // 100))
     texts = texts.withColumn("bucket", F.pmod(F.xxhash64("region", "block"), F.lit(buckets)))
-    found = texts.groupBy("bucket").applyInPandas(_regions(k, num, den), "a long, b long, links long")
+    found = texts.groupBy("bucket").applyInPandas(_regions(k, num, den, leaf), "a long, b long, links long")
     found = cut(found)
     roots = components(found.where("a != b").select("a", "b"), cut)
     links = found.groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))

@@ -1,7 +1,10 @@
 import random
 import re
 
-from rasterloom.llm.jaccard import link_documents
+import numpy as np
+
+from rasterloom.llm import jaccard
+from rasterloom.llm.jaccard import join_region, link_documents
 
 
 def brute(texts):
@@ -55,7 +58,7 @@ def run(spark, texts, **more):
 
 
 def test_against_brute_force(spark):
-    for seed, more in ((1, {}), (2, {"most": 6, "often": 3})):
+    for seed, more in ((1, {}), (2, {"most": 6, "often": 3}), (3, {"leaf": 3, "near": 0.0})):
         texts = sample(seed)
         assert run(spark, texts, **more) == brute(texts)
 
@@ -65,3 +68,34 @@ def test_empty_table_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (None, None), (3, "a b c")], "doc_id long, text string")
     got = sorted(((x.doc_id or -1, x.n_shingles, x.component_id, x.n_links) for x in link_documents(df).collect()), key=str)
     assert got == sorted([(-1, 1, 3, 2), (3, 1, 3, 2), (-1, 0, None, 0), (3, 1, 3, 2)], key=str)
+
+
+def test_regions_cut_recursively_lose_no_link(monkeypatch):
+    sizes, real = [], jaccard.overlaps
+    monkeypatch.setattr(jaccard, "overlaps", lambda s: sizes.append(len(s)) or real(s))
+    r = np.random.default_rng(4)
+    for seed in range(12):
+        rng, s = random.Random(seed), []
+        centres = [rng.sample(range(2000), 60) for _ in range(8)]
+        for _ in range(260):
+            c = list(rng.choice(centres))[: rng.randint(20, 60)]
+            for _ in range(rng.choice([0, 1, 3, 6, 9])):
+                c[rng.randrange(len(c))] = rng.randrange(4000)
+            s.append(np.unique(np.array(c, np.uint64)))
+        copies = r.integers(1, 4, len(s))
+        member, other = r.random(len(s)) < 0.7, r.random(len(s)) < 0.8
+        want, got = (join_region(s, member, copies, 75, 100, other, ~member, leaf) for leaf in (1 << 20, 8))
+        assert (want[1] == got[1]).all() and want[1].any()
+        assert [want[0].root(i) for i in range(len(s))] == [got[0].root(i) for i in range(len(s))]
+        if seed > 1:
+            continue
+        plain = np.zeros(len(s), int)
+        for i in np.flatnonzero(member):
+            for j in np.flatnonzero(other):
+                o = len(np.intersect1d(s[i], s[j]))
+                if i != j and 100 * o >= 75 * (len(s[i]) + len(s[j]) - o):
+                    plain[i] += copies[j]
+                    plain[j] += copies[i] * (not member[j])
+        assert (plain == got[1]).all()
+    # One region uncut, one and its 8 at most: beyond that there are regions of regions.
+    assert len(sizes) > 12 * 10 and min(sizes) <= 8 < max(sizes)
