@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -73,6 +74,41 @@ def lanes(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.explode(F.array(F.struct((F.col("o_orderkey") * 2).alias("k"), F.col("o_totalprice").alias("v")), F.struct((F.col("o_orderkey") * 2 + 1).alias("k"), F.col("o_custkey").cast("double").alias("v")))).alias("e")).select("e.*")
 
 
+def cells(px: DataFrame, rows: int, columns: int, rim: int, dtype: str) -> DataFrame:
+    """Pixels by cells of rows x columns, each with the first rim rows and columns of the next ones: (tile, cy, cx, at, v).
+
+    A row holds what one batch has of a cell: row-major places in it (4 bytes each) and samples, as bytes. So far
+    fewer rows are moved than there are pixels where a raster's neighbours are read together.
+    """
+    high, wide = rows + rim, columns + rim
+    if rim > min(rows, columns) or high * wide > 2**32:
+        raise ValueError("cells are smaller than their rim, or too large")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t, y, x, v = (b.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "y", "x", "v"))
+            v = _samples(v, dtype)
+            for dy, dx in product((0, 1) if rim else (0,), repeat=2):
+                cy, cx = y // rows - dy, x // columns - dx
+                ly, lx = y - cy * rows, x - cx * columns
+                k = np.flatnonzero((cy >= 0) & (cx >= 0) & (ly < high) & (lx < wide))
+                if not len(k):
+                    continue
+                k = k[np.lexsort((cx[k], cy[k], t[k]))]
+                key = [c[k] for c in (t, cy, cx)]
+                at, data = (ly[k] * wide + lx[k]).astype("<u4"), v[k]
+                starts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in key], axis=0)])
+                ends = [*starts[1:], len(k)]
+                packed = [pa.array([c[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()) for c in (at, data)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[starts]) for c in key), *packed], ["tile", "cy", "cx", "at", "v"])
+
+    return px.select(*(F.col(c).cast("long").alias(c) for c in ("tile", "y", "x")), "v").mapInArrow(run, "tile long, cy long, cx long, at binary, v binary")
+
+
+def _samples(v: np.ndarray, dtype: str) -> np.ndarray:
+    return half_bits(v) if dtype == "f16" else v.astype(np.dtype(NUMPY[dtype]).newbyteorder("<"))
+
+
 def to_tiles(px: DataFrame, dtype: str) -> DataFrame:
     """One row per tile: (tile, dtype, elt, width, n, data), data little-endian and row-major.
 
@@ -86,8 +122,7 @@ def to_tiles(px: DataFrame, dtype: str) -> DataFrame:
         width = int(f["x"].max()) + 1
         if (f["y"].to_numpy() * width + f["x"].to_numpy() != np.arange(len(f))).any():
             raise ValueError(f"tile {f['tile'].iloc[0]} has a missing or repeated pixel")
-        v = f["v"].to_numpy()
-        data = half_bits(v) if dtype == "f16" else v.astype(np.dtype(NUMPY[dtype]).newbyteorder("<"))
+        data = _samples(f["v"].to_numpy(), dtype)
         return pd.DataFrame({"tile": [f["tile"].iloc[0]], "dtype": [kind.code], "elt": [kind.size], "width": [width], "n": [len(f)], "data": [data.tobytes()]})
 
     return px.groupBy("tile").applyInPandas(pack, "tile long, dtype int, elt int, width long, n long, data binary")
