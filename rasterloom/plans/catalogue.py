@@ -431,9 +431,10 @@ def noise_fit(spark, d):
     "SELECT n.y, n.x, st, o, floor(0.5e0 + sqrt((n.v + o) * (1e0 / (st * st)) - 0.25e0)) AS j FROM noisy n, (SELECT 0.5e0 * sqrt(b) / 2 AS st, a / b AS o FROM ab))"
 )
 def frame_sqrt_fitted(spark, d):
-    """A product within half its own noise, which is fitted when the plan is cut."""
-    tiles = rasters.to_tiles(rasters.noisy(spark, d), "u16")
-    return rasters.from_tiles(graph.decompress(graph.compress_product(tiles, "planar>zigzag>transpose>zstd", "u16", 150, "SQRT:MAX_ERROR=0.5N")), "u16")
+    """A product within half its own noise, which is fitted when the plan is cut; its one raster goes in strips of 1000 rows."""
+    px = rasters.noisy(spark, d)
+    frames = graph.compress_product(rasters.to_strips(px, "u16", 150, 1000), "planar>zigzag>transpose>zstd", "u16", 150, "SQRT:MAX_ERROR=0.5N", px=px)
+    return rasters.from_strips(rasters.from_tiles(graph.decompress(frames), "u16"), 1000)
 
 
 #: Predictors with what follows them, and terminals by sample size.

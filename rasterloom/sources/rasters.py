@@ -128,6 +128,34 @@ def to_tiles(px: DataFrame, dtype: str) -> DataFrame:
     return px.groupBy("tile").applyInPandas(pack, "tile long, dtype int, elt int, width long, n long, data binary")
 
 
+def to_strips(px: DataFrame, dtype: str, width: int, rows: int) -> DataFrame:
+    """As ``to_tiles``, for rasters too large for one task: each strip of so many rows is a tile, tile * 2^32 + strip.
+
+    Pixels are refused as there, over the whole raster: a missing strip is missing pixels.
+    """
+    kind, most = BY_NAME[dtype], rows * width
+    sizes = px.groupBy("tile").agg(F.count("*").alias("pixels"), F.max(F.col("y") * width + F.col("x")).alias("last"))
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        tile, strip, cx, pixels, last = (int(f[c].iloc[0]) for c in ("tile", "cy", "cx", "pixels", "last"))
+        at, n = np.frombuffer(b"".join(f["at"]), "<u4"), min(most, last + 1 - strip * most)
+        if cx or pixels != last + 1 or len(at) != n or (np.bincount(at, minlength=n) != 1).any():
+            raise ValueError(f"tile {tile} has a missing or repeated pixel")
+        samples = np.frombuffer(b"".join(f["v"]), f"<u{kind.size}")
+        data = np.empty_like(samples)
+        data[at] = samples
+        return pd.DataFrame({"tile": [(tile << 32) + strip], "dtype": [kind.code], "elt": [kind.size], "width": [width], "n": [n], "data": [data.tobytes()]})
+
+    strips = cells(px, rows, width, 0, dtype).join(F.broadcast(sizes), "tile")  # one row a raster
+    return strips.groupBy("tile", "cy", "cx").applyInPandas(pack, "tile long, dtype int, elt int, width long, n long, data binary")
+
+
+def from_strips(px: DataFrame, rows: int) -> DataFrame:
+    """The pixels of rasters from those of their strips."""
+    strip = F.col("tile").bitwiseAND(F.lit(2**32 - 1))
+    return px.select(F.shiftright("tile", 32).alias("tile"), (F.col("y") + strip * rows).alias("y"), "x", "v")
+
+
 def from_tiles(tiles: DataFrame, dtype: str) -> DataFrame:
     """The pixels of tiles; unsigned 64-bit values beyond a long are refused."""
     whole = BY_NAME[dtype].integer

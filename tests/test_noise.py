@@ -1,9 +1,14 @@
-"""Blocks of rasters larger than a cell against numpy, in any order of pixels and around missing and repeated ones."""
+"""Blocks of rasters larger than a cell against numpy, in any order of pixels and around missing and repeated ones; strips."""
+
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rasterloom.operators import noise
+from rasterloom.operators import noise, quantise
+from rasterloom.plans import catalogue, graph
+from rasterloom.sources import rasters
 
 
 def raster(spark, v, tile=0):
@@ -68,3 +73,37 @@ def test_rasters_are_pooled_and_the_fit_reads_blocks_twice(spark):
     mu, s2 = np.array([x.mu for x in g]), np.array([x.s2 for x in g])
     a, slope = row.a, row.b
     assert slope > 0 and np.isclose(row.resid, np.sqrt(((s2 - a - slope * mu) ** 2).sum() / (s2 * s2).sum()))
+
+
+def test_strips_of_one_raster_come_back_with_the_whole_raster_s_curve(spark):
+    r = np.random.default_rng(5)
+    signal = np.repeat(500 + 20.0 * np.arange(110)[:, None], 200, 1)
+    v = np.floor(signal + np.sqrt(100 + signal) * r.normal(size=signal.shape))
+    px = raster(spark, v, 3).withColumn("v", F.col("v").cast("long"))
+    strips = rasters.to_strips(px, "u16", 200, 20)
+    assert {x.tile: x.n for x in strips.select("tile", "n").collect()} == {(3 << 32) + s: 4000 if s < 5 else 2000 for s in range(6)}
+    error = "SQRT:MAX_ERROR=0.5N"
+    whole = graph.graph_for(rasters.to_tiles(px, "u16"), "planar>zigzag>transpose>zstd", "u16", 200, error)
+    cut = graph.graph_for(strips, "planar>zigzag>transpose>zstd", "u16", 200, error, px=px)
+    # Sums over bins have no fixed order, so the last digits of a curve are open.
+    assert np.isclose(cut.plan.step, whole.plan.step, rtol=1e-12) and np.isclose(cut.plan.offset, whole.plan.offset, rtol=1e-9)
+    back = rasters.from_strips(rasters.from_tiles(graph.decompress(graph.compress(strips, cut)), "u16"), 20)
+    got = {(x.tile, x.y, x.x): x.v for x in back.collect()}
+    want = quantise.encode_array(cut.plan, v.astype(np.uint16))
+    assert got == {(3, y, x): int(want[y, x]) for y in range(110) for x in range(200)}
+
+
+def test_strips_refuse_missing_and_repeated_pixels(spark):
+    px = raster(spark, np.arange(80.0).reshape(20, 4)).withColumn("v", F.col("v").cast("long"))
+    assert rasters.to_strips(px, "u16", 4, 5).count() == 4
+    assert sorted(r.n for r in rasters.to_strips(px.where("y < 19 or x < 3"), "u16", 4, 5).select("n").collect()) == [19, 20, 20, 20]
+    for bad in (px.where("not (y = 7 and x = 1)"), px.where("y < 5 or y > 9"), px.where("x < 3"), px.where("not (y between 5 and 9 and x = 3)"), px.unionByName(px.where("y = 3 and x = 0")), px.unionByName(px.selectExpr("tile", "y", "x + 4 AS x", "v").where("y = 3 and x = 4"))):
+        with pytest.raises(Exception, match="missing or repeated pixel"):
+            rasters.to_strips(bad, "u16", 4, 5).collect()
+
+
+def test_the_fitted_frame_holds_no_raster_in_one_task(spark):
+    got = catalogue.QUERIES["frame_sqrt_fitted"](spark, "/root/testdata/sf0.1")
+    # What a task of Python is given is grouped by strip, never by raster alone.
+    groups = re.findall(r"FlatMapGroupsInPandas \[([^\]]*)\]", got._jdf.queryExecution().executedPlan().toString())
+    assert groups and all("cy#" in g for g in groups)
